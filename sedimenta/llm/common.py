@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that go to a Python worker at once; with long texts a batch stays a few MB.
-BATCH_ROWS = 2000
+#: Rows that go to a Python worker at once, so that a batch of long texts stays bounded.
+BATCH_ROWS = 500
 
 #: Arrow batches are cut again so that a step never holds more bytes of text than this.
 STEP_BYTES = 4 << 20
@@ -47,6 +48,8 @@ def discard(df: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of sf_dir; what goes from it to Python goes in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -56,7 +59,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         col = batch.column(batch.schema.get_field_index(column))
         if batch.num_rows == 0:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
@@ -69,7 +72,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column as one array, and the offsets of its rows; null counts as empty."""
     if col.null_count:
-        col = pa.compute.fill_null(col, pa.scalar("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"", col.type))
+        col = pc.fill_null(col, pa.scalar("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"", col.type))
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     offsets = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.empty(0, np.uint8)
