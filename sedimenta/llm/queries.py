@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, token_counts
+from sedimenta.llm import bpe, ogg, token_counts
 from sedimenta.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,16 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op4_bpe_round_trip, op7_ogg_media, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
