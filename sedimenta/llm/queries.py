@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, ogg, token_counts
+from sedimenta.llm import bpe, chat, ogg, token_counts, warc
 from sedimenta.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.format_digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(read(spark, sf_dir, "documents"))
 
@@ -25,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_bpe_round_trip, op7_ogg_media, op10_token_counts)}
+    return {f.__name__: f for f in (op2_warc_revisits, op4_bpe_round_trip, op6_chat_masks, op7_ogg_media, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
