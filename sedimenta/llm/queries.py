@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, chat, ogg, token_counts, warc
+from sedimenta.llm import bpe, chat, langid, ogg, token_counts, toxicity, warc
 from sedimenta.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +30,22 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_warc_revisits, op4_bpe_round_trip, op6_chat_masks, op7_ogg_media, op10_token_counts)}
+    return {f.__name__: f for f in (op2_warc_revisits, op4_bpe_round_trip, op6_chat_masks, op7_ogg_media, op8_language, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
