@@ -69,6 +69,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = stop
 
 
+def joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of narrow rows put together until they have about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column as one array, and the offsets of its rows; null counts as empty."""
     if col.null_count:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, chat, langid, ogg, token_counts, toxicity, warc
+from sedimenta.llm import bpe, chat, langid, minhash, ogg, token_counts, toxicity, warc
 from sedimenta.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_warc_revisits, op4_bpe_round_trip, op6_chat_masks, op7_ogg_media, op8_language, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op2_warc_revisits, op4_bpe_round_trip, op5_near_duplicates, op6_chat_masks, op7_ogg_media, op8_language, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
