@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import bpe, chat, decontam, langid, minhash, ogg, token_counts, toxicity, warc
+from sedimenta.llm import bpe, chat, decontam, langid, minhash, ogg, suffix_dedup, token_counts, toxicity, warc
 from sedimenta.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_warc_revisits, op4_bpe_round_trip, op5_near_duplicates, op6_chat_masks, op7_ogg_media, op8_language, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_warc_revisits, op3_repeated_substrings, op4_bpe_round_trip, op5_near_duplicates, op6_chat_masks, op7_ogg_media, op8_language, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
