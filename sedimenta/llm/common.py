@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once, so that a batch of long texts stays bounded.
 BATCH_ROWS = 500
@@ -53,6 +54,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Name of the column that tells rows apart; no table of a user has it.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number for each row: the doc_id where that is unique and not null; else the table is stored with
+    numbers, so that they stay what they are."""
+    n, full, apart = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == full == apart and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        return docs.withColumn(ROW, F.col("doc_id").cast("bigint"))
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about limit bytes of the column, and one row at least."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import column, joined_batches, materialize, small_batches, text_bytes
+from sedimenta.llm.common import ROW, column, joined_batches, keyed, materialize, small_batches, text_bytes
 from sedimenta.llm.components import Union, components
 from sedimenta.llm.shingles import shingle_sets, signatures
 
@@ -206,9 +206,14 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in a], pa.int64()), pa.array([y for _, y in a], pa.int64())], ["a", "b"])
 
 
+def _tasks(rows: DataFrame, rows_per_task: int) -> int:
+    """Tasks for a table of so many rows; small ones still use every core."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // rows_per_task + 1)
+
+
 def _solved(rows: DataFrame, name: str) -> DataFrame:
     """Links within groups (cluster, block) of rows: cluster, block, probe, node, shingles."""
-    ordered = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "probe", "node")
+    ordered = rows.repartition("cluster", "block").coalesce(_tasks(rows, 2000)).sortWithinPartitions("cluster", "block", "probe", "node")
     return materialize(ordered.select("cluster", "block", "probe", "node", "shingles").mapInArrow(_solve, "a bigint, b bigint"), name)
 
 
@@ -229,10 +234,11 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed edges (a, b) between classes (node, label, n_shingles, key, sig) that connect all linked ones."""
     coarse = materialize(components(candidates(classes)).withColumnRenamed("component", "cluster"), "coarse")
-    sized = materialize(coarse.join(classes.select("node", "label", "n_shingles", "key"), "node"), "members")
+    tasks = _tasks(coarse, 100_000)
+    sized = materialize(coarse.join(classes.select("node", "label", "n_shingles", "key"), "node").coalesce(tasks), "members")
     totals = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     totals = totals.withColumn("blocks", F.when((F.col("n") > CLUSTER_CLASSES) | (F.col("shingles") > CLUSTER_SHINGLES), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / CLUSTER_SHINGLES))).otherwise(1).cast("bigint"))
-    totals = materialize(totals, "clusters")
+    totals = materialize(totals.coalesce(tasks), "clusters")
     # A large cluster has over CLUSTER_CLASSES classes or CLUSTER_SHINGLES shingles, so there are few; its members may be many.
     large = totals.where("blocks > 1").select("cluster", "blocks")
     marked = sized.join(totals.where("blocks = 1").select("cluster"), "cluster", "left_anti").join(large, "cluster")
@@ -252,7 +258,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     so_far = fresh.unionByName(across)
     known = components(so_far).withColumnRenamed("component", "part")
     parts = in_large.select("cluster", "node").distinct().join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    parts = materialize(parts, "parts")
+    parts = materialize(parts.coalesce(tasks), "parts")
     most = parts.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("part"))
     minor = in_large.join(parts.join(most, ["cluster", "part"], "left_anti").select("node").distinct(), "node")
     last = _solved(targets.unionByName(spread(minor)), "links-minor")
@@ -284,3 +290,14 @@ def _per_row(rows: DataFrame, of_class: DataFrame, hot_share: float = 0.001) ->
     rest = marked.where("is_hot is null").join(of_class, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = of_hot.unionByName(rest)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs of which no near-duplicate with a smaller doc_id is there; all columns as they are. Of equal doc_ids
+    one row of a component stays, null doc_ids give way to others, and rows without words all stay."""
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__component"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    ids = materialize(rows.select("doc_id", ROW).join(found, ROW), "component-rows")
+    first = ids.groupBy("__component").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(docs.columns)
