@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import column, joined_batches, materialize, small_batches
+from sedimenta.llm.common import ROW, column, keyed, materialize, small_batches
 from sedimenta.llm.shingles import mix
 
 LENGTH, GRAM = 400, 200
@@ -47,6 +47,8 @@ SPREAD = 4096
 #: Fingerprints in a range when shards are merged, and keys up to which a table of them may be broadcast.
 RANGE, BROADCAST_KEYS = 1 << 20, 2_000_000
 
+REMOVED = "__removed"
+
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 28) - 1)
 _MAX = np.uint64(2**64 - 1)
@@ -347,14 +349,6 @@ def _keys(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text: the row is the doc_id where that is unique and not null; else the table is stored with numbers."""
-    n, full, apart = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == full == apart and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        return docs.select(F.col("doc_id").cast("bigint").alias("row"), "doc_id", "text")
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
-
-
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """row, lo, hi: runs of starts of windows that occur again, of docs (row, text)."""
     spark = docs.sparkSession
@@ -416,24 +410,24 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs (row, ...) with removed, the starts and ends of removed spans one after the other; empty where nothing goes.
+    """docs, which have ROW, with REMOVED: the starts and ends of removed spans one after the other, empty where nothing goes.
     Texts of which nothing goes need not meet the spans in a shuffle, as long as the rows that do are few enough to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [spans(np.array([w["lo"] for w in ws]), np.array([w["hi"] for w in ws])).ravel() for ws in column(batch, "ws").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(out, pa.list_(pa.int64()))], ["row", "removed"])
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(out, pa.list_(pa.int64()))], [ROW, REMOVED])
 
-    found = repeated_windows(docs.select("row", "text"))
+    found = repeated_windows(docs.select(F.col(ROW).alias("row"), "text"))
     grouped = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ws"))
-    united = materialize(grouped.mapInArrow(run, "row bigint, removed array<bigint>"), "spans")
+    united = materialize(grouped.mapInArrow(run, f"{ROW} bigint, {REMOVED} array<bigint>"), "spans")
     release(docs.sparkSession)
     none = F.array().cast("array<bigint>")
-    rows = united.select("row")
+    rows = united.select(ROW)
     if rows.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
-        return docs.join(united, "row", "left").withColumn("removed", F.coalesce("removed", none))
-    touched = docs.join(F.broadcast(rows), "row", "left_semi").join(united, "row")
-    return touched.unionByName(docs.join(F.broadcast(rows), "row", "left_anti").withColumn("removed", none))
+        return docs.join(united, ROW, "left").withColumn(REMOVED, F.coalesce(REMOVED, none))
+    touched = docs.join(F.broadcast(rows), ROW, "left_semi").join(united, ROW)
+    return touched.unionByName(docs.join(F.broadcast(rows), ROW, "left_anti").withColumn(REMOVED, none))
 
 
 def _kept(raw: bytes, removed: list[int]) -> bytes:
@@ -447,7 +441,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = []
-            for text, removed in zip(column(batch, "text").to_pylist(), column(batch, "removed").to_pylist(), strict=True):
+            for text, removed in zip(column(batch, "text").to_pylist(), column(batch, REMOVED).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 kept = _kept(raw, removed)
                 out.append((len(raw), len(raw) - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest()))
@@ -455,7 +449,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(numbered(docs)).select("doc_id", "text", "removed").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_spans(keyed(docs.select("doc_id", "text"))).select("doc_id", "text", REMOVED).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
@@ -464,18 +458,9 @@ def keep_unique(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            removed = column(batch, "removed").to_pylist()
+            removed = column(batch, REMOVED).to_pylist()
             texts = [t if t is None or not r else _kept(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), removed, strict=True)]
-            names = [x for x in batch.schema.names if x not in ("row", "removed")]
+            names = [x for x in batch.schema.names if x != REMOVED]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else column(batch, x) for x in names], names)
 
-    with_rows = numbered_all(docs)
-    return with_spans(with_rows).drop("row").select(*docs.columns, "removed").mapInArrow(run, docs.schema)
-
-
-def numbered_all(docs: DataFrame) -> DataFrame:
-    """docs with row; as numbered(), but with all columns. A column of that name would clash, so it is not allowed."""
-    n, full, apart = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == full == apart and docs.schema["doc_id"].dataType.simpleString() == "bigint":
-        return docs.withColumn("row", F.col("doc_id"))
-    return materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return with_spans(keyed(docs)).select(*docs.columns, REMOVED).mapInArrow(run, docs.schema)
