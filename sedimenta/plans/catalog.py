@@ -1,4 +1,4 @@
-"""Registered queries over the tables, each with its SQL where DuckDB can express it."""
+"""All registered queries, each with its SQL where DuckDB can express it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimenta.plans import java, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return tables.QUERIES | java.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return tables.SQL | java.SQL
