@@ -20,7 +20,7 @@ def dependency_matches(files: DataFrame) -> DataFrame:
     some = files.select("path", "content", has.alias("has")).where(F.exists("has", lambda x: x))
     lined = file_lines(some.withColumn("source", F.regexp_replace("content", "\r\n?", "\n")), 0)
     # The place of a line in its text: what the lines before it take up.
-    rows = lined.withColumn("at", F.length(F.substring_index("source", "\n", F.col("line") - 1)) + F.when(F.col("line") > 1, 2).otherwise(1))
+    rows = lined.withColumn("at", F.length(F.call_function("substring_index", F.col("source"), F.lit("\n"), F.col("line") - 1)) + F.when(F.col("line") > 1, 2).otherwise(1))
     window = F.substr("source", F.greatest(F.col("at") - BEFORE, F.lit(1)), F.length("text") + F.least(F.col("at") - 1, F.lit(BEFORE)) + AFTER)
 
     def match(k: int, rule: tuple):

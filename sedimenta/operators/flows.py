@@ -75,13 +75,15 @@ def endpoint_flows(files: DataFrame, classes: DataFrame, methods: DataFrame, per
     ends = ends.join(source, "file_path", "left").select(*ends.columns, F.coalesce(security, F.array().cast("array<string>")).alias("security"))
 
     every = resolved_calls(files, classes)
-    to_service = ends.join(every, (every.class_name == ends.controller) & (every.method == ends.handler)).select(*key, "pos", F.col("target").alias("service"), F.col("target_method").alias("service_method"), "target_role", F.col("target_file").alias("service_file"))
+    caller = every.withColumnsRenamed({"class_name": "controller", "method": "handler"})
+    to_service = ends.join(caller, ["controller", "handler"]).select(*key, "pos", F.col("target").alias("service"), F.col("target_method").alias("service_method"), "target_role", F.col("target_file").alias("service_file"))
     services = first_wins(to_service, [*key, "service"], ["pos"]).where(F.col("target_role").isin("service", "security", "component"))
     tagged = cache_tags(services.select(F.col("service").alias("class_name"), F.col("service_method").alias("method"), F.col("service_file").alias("file")).distinct(), files)
     services = services.join(tagged.select(F.col("class_name").alias("service"), F.col("method").alias("service_method"), "tags", "transactional"), ["service", "service_method"])
 
-    to_repo = services.select(*key, "service", "service_method", F.col("pos").alias("service_pos")).join(every, (every.class_name == F.col("service")) & (every.method == F.col("service_method")))
-    repos = to_repo.select(*key, "service", "service_pos", every.pos.alias("repo_pos"), F.col("target").alias("repo"), F.col("target_method").alias("repo_method"), "target_role", F.col("target_file").alias("repo_file"))
+    caller = every.withColumnsRenamed({"class_name": "service", "method": "service_method", "pos": "repo_pos"})
+    to_repo = services.select(*key, "service", "service_method", F.col("pos").alias("service_pos")).join(caller, ["service", "service_method"])
+    repos = to_repo.select(*key, "service", "service_pos", "repo_pos", F.col("target").alias("repo"), F.col("target_method").alias("repo_method"), "target_role", F.col("target_file").alias("repo_file"))
     repos = first_wins(repos, [*key, "service", "repo"], ["repo_pos"]).where(F.col("target_role").isin("repository", "model"))
     tables = db_tables(files)
     full = F.when(F.col("schema") == "default", F.col("table")).otherwise(F.concat("schema", F.lit("."), "table"))
