@@ -34,7 +34,7 @@ def read_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXT
     rows = raw.select(below.alias("path"), "content").where(~is_excluded(F.col("path"))).withColumn("is_test", is_test(F.col("path")))
     if not include_tests:
         rows = rows.where(~F.col("is_test"))
-    content = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    content = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n")
     return rows.select("path", content.alias("content"), "is_test").withColumn("loc", X.lines_of_code(F.col("content")))
 
 
@@ -52,7 +52,7 @@ def read_context(spark: SparkSession, root: str, names: tuple[str, ...] = CONTEX
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
     name = X.base_name(F.col("path"))
     order = F.array_position(F.array(*map(F.lit, names)), name)
-    return raw.select(name.alias("name"), F.left(F.decode("content", "UTF-8"), F.lit(chars)).alias("text"), order.alias("ord"))
+    return raw.select(name.alias("name"), F.left(F.make_valid_utf8(F.col("content").cast("string")), F.lit(chars)).alias("text"), order.alias("ord"))
 
 
 def validate(spark: SparkSession, root: str) -> DataFrame:

@@ -30,7 +30,7 @@ def by_window(events: DataFrame, window: str = "5 minutes", late: str = "10 minu
 def new_files(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:
     """Files as they appear in a tree, for analysis of what is new only."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return raw.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("content"))
+    return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n?", "\n").alias("content"))
 
 
 def run_to_end(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
