@@ -89,16 +89,17 @@ def loss_mask(token_starts: np.ndarray, token_ends: np.ndarray, spans: np.ndarra
 
 
 def masked_spans(token_starts: np.ndarray, token_ends: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """The sorted character spans that masked tokens cover, cut to the spans: tokens may reach over an edge, and several
-    tokens may share a character."""
+    """The sorted character spans that masked tokens cover, cut to the spans: tokens may reach over an edge or over several
+    spans, and several tokens may share a character. The tokens of each span are found by binary search."""
     s, e = token_starts[mask], token_ends[mask]
-    if not len(s):
-        return np.empty((0, 2), np.int64)
-    k = np.searchsorted(spans[:, 1], s, side="right")
-    s, e = np.maximum(s, spans[k, 0]), np.minimum(e, spans[k, 1])
-    reach = np.maximum.accumulate(e)
-    new = np.append(True, (s[1:] > reach[:-1]) | (k[1:] != k[:-1]))
-    return np.stack([s[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]], 1)
+    out = []
+    first, last = np.searchsorted(e, spans[:, 0], side="right"), np.searchsorted(s, spans[:, 1], side="left")
+    for (a, b), i, j in zip(spans.tolist(), first.tolist(), last.tolist(), strict=True):
+        if i < j:
+            lo, hi = np.maximum(s[i:j], a), np.maximum.accumulate(np.minimum(e[i:j], b))
+            new = np.append(True, lo[1:] > hi[:-1])
+            out.append(np.stack([lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
 def _segments(turns: Iterator[tuple[str, str]], limit: int) -> Iterator[list[tuple[str, str]]]:
