@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 
 #: Arrow batches are cut again so that a step never holds more bytes of text than this.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -58,6 +60,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 ROW = "__row"
 
 
+#: Rows of narrow keys up to which a table of them may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df has at most so many rows, by count."""
+    most = BROADCAST_ROWS if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with ROW, a number for each row: the doc_id where that is unique and not null; else the table is stored with
     numbers, so that they stay what they are."""
@@ -68,7 +80,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about limit bytes of the column, and one row at least."""
+    """Cut batches so that each holds about limit bytes of the column, and one row at least. When all are read, the worker,
+    which Spark uses again, gives free memory back."""
+    try:
+        yield from _cut_batches(batches, column, limit)
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Return memory that this process holds but doesn't use to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if batch.num_rows == 0:
@@ -94,6 +121,8 @@ def joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> It
             held, n = [], 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = []
+    trim()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

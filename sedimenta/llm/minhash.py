@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import ROW, column, joined_batches, keyed, materialize, small_batches, text_bytes
+from sedimenta.llm.common import ROW, column, few, joined_batches, keyed, materialize, small_batches, text_bytes
 from sedimenta.llm.components import Union, components
 from sedimenta.llm.shingles import shingle_sets, signatures
 
@@ -227,6 +227,9 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "cluster"), column(batch, "block"), column(batch, "node"), pa.array((s.tobytes() for s in sets), pa.binary())], ["cluster", "block", "node", "shingles"]).filter(pa.array(right))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    labels = members.select(F.col("label").alias("wanted")).distinct()
+    if few(labels):  # then only texts that are wanted go through the shuffle
+        texts = texts.join(F.broadcast(labels), texts.doc_id.eqNullSafe(labels.wanted), "left_semi")
     joined = members.join(texts, members.label.eqNullSafe(texts.doc_id))
     return joined.select("cluster", "block", "node", "key", "text").mapInArrow(run, "cluster bigint, block bigint, node bigint, shingles binary")
 
@@ -300,4 +303,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
     ids = materialize(rows.select("doc_id", ROW).join(found, ROW), "component-rows")
     first = ids.groupBy("__component").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(first, ROW, "left_semi").select(docs.columns)
+    gone = materialize(ids.select(ROW).join(first, ROW, "left_anti"), "copies")
+    return rows.join(F.broadcast(gone) if few(gone) else gone, ROW, "left_anti").select(docs.columns)
