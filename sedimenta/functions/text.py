@@ -251,3 +251,27 @@ def title(c: Column) -> Column:
 def progress_kind(message: Column) -> Column:
     """warning for progress texts that begin with a warning sign or speak of a warning, failure or heuristic, else info."""
     return F.when(F.lower(message).rlike("^\u26a0|warning|failed|heuristic"), "warning").otherwise("info")
+
+
+def clean_key(key: Column, placeholders: tuple[str, ...] = ("your-key-here", "")) -> Column:
+    """A key without white space around it; empty for null and for what only stands in for one."""
+    plain = F.trim(F.coalesce(key, F.lit("")))
+    return F.when(plain.isin(*placeholders), "").otherwise(plain)
+
+
+def with_credentials(url: Column, token: Column) -> Column:
+    """An http address with a token before its host; as it is without one."""
+    has = F.coalesce(token, F.lit("")) != ""
+    return F.when(has & url.rlike("^https?://"), F.concat(F.regexp_extract(url, "^(https?://)", 1), token, F.lit("@"), F.regexp_replace(url, "^https?://", ""))).otherwise(url)
+
+
+def clock_time(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "HH:mm:ss")
+
+
+def now_iso() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def progress(done: Column, total: Column, start: float = 0.42, share: float = 0.40) -> Column:
+    return start + done / F.greatest(total, F.lit(1)) * share
