@@ -11,6 +11,7 @@ from sedimenta.functions import text as X
 from sedimenta.operators import deps, flows, javaparse, knowledge, merge, metrics, packing, retrieval, scan
 from sedimenta.plans import corpus
 from sedimenta.sources import files as S
+from sedimenta.workers import reach
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +34,7 @@ def query(columns: str | None = None, *rows: str) -> Callable[[Query], Query]:
 
 def sources(spark: SparkSession, tests: bool = False) -> DataFrame:
     """The corpus as the file reader gives it: without excluded folders, and without tests."""
-    rows = corpus.files(spark).where(~S.is_excluded(F.col("path")))
+    rows = corpus.files(reach(spark)).where(~S.is_excluded(F.col("path")))
     return rows.where(S.is_test(F.col("path")) if tests else ~S.is_test(F.col("path")))
 
 

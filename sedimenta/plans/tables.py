@@ -11,6 +11,7 @@ from sedimenta.functions import rules as R
 from sedimenta.functions import text as X
 from sedimenta.operators import flows, merge, metrics, packing, retrieval, scan, telemetry
 from sedimenta.sources import files as S
+from sedimenta.workers import reach
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
