@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import column, small_batches
 
 #: Distinct fragments that a worker remembers before it starts anew.
-MEMO_FRAGMENTS = 400_000
+MEMO_FRAGMENTS = 250_000
 
 #: Longer fragments are encoded but not remembered.
 MEMO_LENGTH = 64

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.workers import reach
+
 #: Rows that go to a Python worker at once, so that a batch of long texts stays bounded.
 BATCH_ROWS = 500
 
@@ -22,9 +25,12 @@ STEP_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """A folder that all executors share: below spark.checkpoint.dir. Where that is unset a single machine gets a temporary
+    one, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sedimenta-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -32,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
+    spark = reach(df.sparkSession)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -43,6 +49,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that materialize() wrote and nothing reads any more."""
     spark = df.sparkSession
@@ -53,7 +65,7 @@ def discard(df: DataFrame) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of sf_dir; what goes from it to Python goes in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 #: Name of the column that tells rows apart; no table of a user has it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are hashed in one step; a step ends between two words.
-STEP = 2 << 20
+STEP = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240101)

@@ -39,13 +39,13 @@ LENGTH, GRAM = 400, 200
 WIDTH = LENGTH - GRAM + 1
 
 #: Bytes of a text that are looked at in one step, and of contexts in a shard.
-STEP, SHARD_BYTES = 1 << 20, 4 << 20
+STEP, SHARD_BYTES = 1 << 18, 3 << 20
 
 #: An anchor of more kinds of contexts is spread over shards.
 SPREAD = 4096
 
 #: Fingerprints in a range when shards are merged, and keys up to which a table of them may be broadcast.
-RANGE, BROADCAST_KEYS = 1 << 20, 2_000_000
+RANGE, BROADCAST_KEYS = 1 << 20, 1_000_000
 
 REMOVED = "__removed"
 
