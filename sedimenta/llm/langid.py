@@ -61,37 +61,75 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+class Trie:
+    """The pieces as a tree whose edges are one sorted array, so that many words step down it at once."""
+
+    def __init__(self, pieces: list[str]):
+        nodes: dict[tuple[int, str], int] = {}
+        self.unknown = len(pieces)
+        ends = {}
+        for k, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = nodes.setdefault((node, c), len(nodes) + 1)
+            ends[node] = k
+        keys = np.array([n << 21 | ord(c) for n, c in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        self.piece = np.full(len(nodes) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have an edge of that character, and where the edges of those lead."""
+        if not len(self.keys):
+            return np.zeros(len(node), bool), node[:0]
+        key = node << 21 | char
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return found, self.child[at[found]]
+
+
 class Lattice:
-    """All pieces inside each of some words, as arrays."""
-
-    def __init__(self, words: list[str], index: dict[str, int]):
-        unknown = len(index)
-        word, start, end, piece, self.last = [], [], [], [], np.empty(len(words), np.int64)
-        get = index.get
-        for k, w in enumerate(words):
-            w = "▁" + w
-            n = self.last[k] = len(w)
-            for i in range(n):
-                single = False
-                for j in range(i + 1, min(n, i + PIECE_LETTERS) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        word.append(k), start.append(i), end.append(j), piece.append(p)
-                        single |= j == i + 1
-                if not single:
-                    word.append(k), start.append(i), end.append(i + 1), piece.append(unknown)
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
+    """All pieces inside each of some words, as arrays; a letter that is no piece is one of an unknown kind."""
+
+    def __init__(self, words: list[str], trie: Trie):
+        self.last = np.array([len(w) + 1 for w in words], np.int64)
         self.length = int(self.last.max(initial=0))
+        chars = np.frombuffer("".join("▁" + w.ljust(self.length - 1, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
+        parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 4]
+        for i in range(self.length):
+            word = np.flatnonzero(self.last > i)
+            node = np.zeros(len(word), np.int64)
+            for j in range(i, self.length):
+                found, node = trie.step(node, chars[word, j])
+                if j == i:
+                    piece = np.full(len(word), trie.unknown)
+                    piece[found] = np.where(trie.piece[node] >= 0, trie.piece[node], trie.unknown)
+                    parts.append((word, np.full(len(word), i), np.full(len(word), j + 1), piece))
+                    word = word[found]
+                else:
+                    word = word[found]
+                    full = trie.piece[node] >= 0
+                    n = int(np.count_nonzero(full))
+                    parts.append((word[full], np.full(n, i), np.full(n, j + 1), trie.piece[node[full]]))
+                if not len(word):
+                    break
+        self.word, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """(words, letters + 1, languages): the sum over all segmentations of each beginning of each word."""
         a = np.zeros((len(self.last), self.length + 1, p.shape[1]))
         a[:, 0] = 1
-        order = np.argsort(self.end, kind="stable")
-        cuts = np.searchsorted(self.end[order], np.arange(1, self.length + 2))
+        order = np.lexsort((self.word, self.end))  # by end, then by word: what ends at one place of a word is summed as a run
+        word, start, end = self.word[order], self.start[order], self.end[order]
+        weight = p[self.piece[order]]
+        heads = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (end[1:] != end[:-1])))
+        cuts, runs = np.searchsorted(end, np.arange(1, self.length + 2)), np.searchsorted(end[heads], np.arange(1, self.length + 2))
         for j in range(1, self.length + 1):
-            e = order[cuts[j - 1] : cuts[j]]
-            np.add.at(a[:, j], self.word[e], a[self.word[e], self.start[e]] * p[self.piece[e]])
+            lo, hi = cuts[j - 1], cuts[j]
+            if lo < hi:
+                h = heads[runs[j - 1] : runs[j]]
+                a[word[h], j] = np.add.reduceat(a[word[lo:hi], start[lo:hi]] * weight[lo:hi], h - lo)
         return a
 
     def backward(self, p: np.ndarray) -> np.ndarray:
@@ -112,10 +150,10 @@ def chunks(word: str) -> list[str]:
     return [word] if len(word) <= WORD_LETTERS else [word[i : i + WORD_LETTERS] for i in range(0, len(word), WORD_LETTERS)]
 
 
-def fit(counts: dict[str, Counter], index: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the probability of each piece (the last row: of a letter that is none) in each."""
-    langs = sorted(counts)
-    table = np.full((len(index) + 1, len(langs)), FLOOR)
+    langs, trie, unknown = sorted(counts), Trie(pieces), len(pieces)
+    table = np.full((unknown + 1, len(langs)), FLOOR)
     for k, lang in enumerate(langs):
         split = Counter()
         for w, n in counts[lang].items():
@@ -123,11 +161,11 @@ def fit(counts: dict[str, Counter], index: dict[str, int], rounds: int = ROUNDS)
                 split[part] += n
         words = list(split)
         times = np.array([split[w] for w in words], float)
-        p = np.full((len(index) + 1, 1), 1e-4)
+        p = np.full((unknown + 1, 1), 1e-4)
         p[-1] = FLOOR
-        lattices = [(Lattice(words[i : i + 20_000], index), times[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+        lattices = [(Lattice(words[i : i + 20_000], trie), times[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         for _ in range(rounds):
-            seen = np.full(len(index) + 1, PRIOR)
+            seen = np.full(unknown + 1, PRIOR)
             for x, n in lattices:
                 a, b = x.forward(p)[:, :, 0], x.backward(p)[:, :, 0]
                 total = np.maximum(a[np.arange(len(x.last)), x.last], 1e-300)
@@ -142,8 +180,8 @@ def fit(counts: dict[str, Counter], index: dict[str, int], rounds: int = ROUNDS)
 class Scorer:
     """Scores of whole texts in every language; made once in each Python worker."""
 
-    def __init__(self, index: dict[str, int], langs: list[str], table: np.ndarray, memo_words: int = MEMO_WORDS):
-        self.index, self.langs, self.table, self.memo_words = index, langs, table, memo_words
+    def __init__(self, pieces: list[str], langs: list[str], table: np.ndarray, memo_words: int = MEMO_WORDS):
+        self.trie, self.langs, self.table, self.memo_words = Trie(pieces), langs, table, memo_words
         self.memo: dict[str, int] = {}
         self.scores = np.empty((0, len(langs)))
 
@@ -154,7 +192,7 @@ class Scorer:
         out = np.zeros((len(words), len(self.langs)))
         for i in range(0, len(parts), 20_000):
             step = parts[i : i + 20_000]
-            np.add.at(out, [k for k, _ in step], np.log(np.maximum(Lattice([c for _, c in step], self.index).totals(self.table), 1e-300)))
+            np.add.at(out, [k for k, _ in step], np.log(np.maximum(Lattice([c for _, c in step], self.trie).totals(self.table), 1e-300)))
         at = len(self.scores)
         self.memo.update((w, at + k) for k, w in enumerate(words))
         self.scores = np.concatenate([self.scores, out])
@@ -187,9 +225,12 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_
     of at most rows * languages ids are read."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     able = docs.where((fold != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    top = able.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).select("lang")
+    top = able.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages)
+    top = top.select("lang", (4 * rows / F.col("count")).alias("share"))
+    # A language's smallest hashes are surely among four times as many that are expected under its share: few rows are ranked.
+    low = able.join(F.broadcast(top), "lang").where((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) <= F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.join(F.broadcast(top), "lang").select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows)
+    ids = low.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows)
     return able.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
 
@@ -199,7 +240,7 @@ def train(docs: DataFrame, vocabulary_path: str | None = None, **sample: int) ->
     counts: dict[str, Counter] = {}
     for row in training_rows(docs, **sample).toLocalIterator():
         counts.setdefault(row["lang"], Counter()).update(words_of(row["text"]))
-    langs, table = fit(counts, {p: i for i, p in enumerate(pieces)})
+    langs, table = fit(counts, pieces)
     return pieces, langs, table
 
 
@@ -210,7 +251,7 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], fo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, table = shared.value
-        scorer = Scorer({p: i for i, p in enumerate(pieces)}, langs, table)
+        scorer = Scorer(pieces, langs, table)
         for batch in small_batches(batches):
             lang, score = scorer.predict(column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

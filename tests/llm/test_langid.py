@@ -25,10 +25,10 @@ def slow_total(word, index, p):
 
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁ab", "b", "bc", "c", "abc", "▁", "a", "cc"]
-    index = langid.piece_index(pieces)
+    index = {p: i for i, p in enumerate(pieces)}
     p = np.append(np.linspace(0.05, 0.2, len(pieces)), 1e-3)
     words = ["a", "ab", "abc", "abcc", "xab", "bcbc", "cab", "é"]
-    lattice = langid.Lattice(words, index, len(pieces))
+    lattice = langid.Lattice(words, langid.Trie(pieces))
     got = lattice.totals(p[:, None])[:, 0]
     want = [slow_total(w, index, p) for w in words]
     assert np.allclose(got, want)
@@ -42,7 +42,7 @@ def test_fit_makes_the_sample_likelier():
     _, one = langid.fit(counts, pieces, 1)
     langs, five = langid.fit(counts, pieces, 5)
     assert langs == ["x", "y"]
-    index = langid.piece_index(pieces)
+    index = {p: i for i, p in enumerate(pieces)}
     for k, lang in enumerate(langs):
         like = lambda t: sum(n * math.log(slow_total(w, index, t[:, k])) for w, n in counts[lang].items())  # noqa: E731, B023
         assert like(five) > like(one)
