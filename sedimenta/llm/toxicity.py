@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.common import column, small_batches
 
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 #: Words a text is searched for whatever the labels say: common insults.
 LEXICON = frozenset("idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown clowns disgusting dumb jerk fool imbecile".split())
@@ -122,21 +122,24 @@ class Featurizer:
 
 
 def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 3, odds: float = 12.0) -> Lexicon:
-    """Words and word beginnings that are in least toxic texts or more, and odds times as often there as in others. Toxic texts
+    """Words and word beginnings that are in least toxic texts or more (and in one of 200), and odds times as often there as in others. Toxic texts
     that are mostly a copy of earlier ones aren't counted: their words would seem to be common to many."""
+    parts = lambda text: (found := {_EDGES.sub("", w).lower() for w in text.split()}) | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
     toxic, clean, seen = Counter(), Counter(), set()
     for text, y in zip(texts, labels, strict=True):
         if y:
             tokens = text.split()
-            pairs = set(zip(tokens, tokens[1:], tokens[2:], strict=False))
-            copied = len(pairs & seen) > 0.3 * len(pairs)
-            seen |= pairs
-            if copied:
-                continue
-        found = {_EDGES.sub("", w).lower() for w in text.split()}
-        (toxic if y else clean).update(found | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n})
+            runs = {hash(r) for r in zip(tokens, tokens[1:], tokens[2:], strict=False)}
+            copied = len(runs & seen) > 0.3 * len(runs)
+            seen |= runs
+            if not copied:
+                toxic.update(parts(text))
+    known = {w for w, n in toxic.items() if n >= max(least, np.count_nonzero(labels) / 200)}
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            clean.update(parts(text) & known)
     ratio = max(np.count_nonzero(labels == 0), 1) / max(np.count_nonzero(labels), 1)
-    good = {w for w, n in toxic.items() if n >= least and n * ratio >= odds * (clean[w] + 0.5)}
+    good = {w for w in known if toxic[w] * ratio >= odds * (clean[w] + 0.5)}
     return Lexicon(frozenset(w for w in good if not w.endswith("*")), frozenset(w[:-1] for w in good if w.endswith("*")))
 
 
@@ -244,9 +247,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
     labelled rows."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     known = labels.where((fold != held_out) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "toxic", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # A label's smallest hashes are surely among four times as many that are expected under its share: few rows are ranked.
+    share = F.when(F.col("toxic") == 1, 4 * rows / max(totals.get(1, 0), 1)).otherwise(4 * rows / max(totals.get(0, 0), 1))
+    low = known.where((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) <= share)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = low.select("doc_id", "toxic", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows)
     able = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
     sample = able.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toLocalIterator()
     got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample), key=lambda r: (hash_order(r[0]), r[1]))
