@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.bpe import codec, default_tokenizer_path
-from sedimenta.llm.common import column, small_batches
+from sedimenta.llm.common import column, materialize, small_batches
 
 #: Lengths that share a block of the two-level suffix sums.
 BLOCK = 1024
@@ -35,8 +35,10 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
 def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length: documents and tokens at least as long, and the total if every text were cut to that length.
 
-    Two levels, so that no task holds more than a block of lengths or one row for each block.
+    Two levels, so that no task holds more than a block of lengths or one row for each block. The histogram, which is read
+    several times, is stored first, so that texts are encoded once.
     """
+    histogram = materialize(histogram, "lengths")
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
