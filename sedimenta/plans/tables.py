@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import rules as R
@@ -309,6 +309,12 @@ def javadoc_carry_forward(spark, sf_dir):
     return merge.carry_forward(rows, "c", ["conv_id"], ["turn"], "doc").drop("c")
 
 
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS doc FROM conversations")
+def javadoc_carry_forward_whole(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("c"))
+    return merge.carry_forward(rows, "c", ["conv_id"], ["turn"], "doc").drop("c")
+
+
 _EVENTS = "SELECT event_id, event_type AS call_type, CAST(trunc(value) AS BIGINT) AS input_tokens, CAST(length(props) AS BIGINT) AS output_tokens, user_id % 3 = 0 AS cached FROM events"
 
 
@@ -362,25 +368,43 @@ def cosine_topk(spark, sf_dir):
     return retrieval.vector_top_k(rows, F.col("q")).select("id", F.round("score", 4).alias("score"))
 
 
-@query("SELECT 'class::' || doc_id AS id, left(text, 50) AS text FROM documents UNION ALL SELECT 'module::' || page_id, url FROM pages UNION ALL SELECT 'endpoints::' || conv_id, string_agg(role, ',' ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'stats::core', 'documents: ' || count(*) FROM documents")
-def node_union(spark, sf_dir):
+def _nodes(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    docs = t("documents").select(F.concat(F.lit("class::"), "doc_id").alias("id"), F.left("text", F.lit(50)).alias("text"))
+    docs = t("documents").select(F.concat(F.lit("class::"), "doc_id").alias("id"), text.alias("text"))
     sites = t("pages").select(F.concat(F.lit("module::"), "page_id").alias("id"), F.col("url").alias("text"))
     talks = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("text"))
     core = t("documents").agg(F.concat(F.lit("documents: "), F.count("*")).alias("text")).select(F.lit("stats::core").alias("id"), "text")
     return docs.unionByName(sites).unionByName(talks.select(F.concat(F.lit("endpoints::"), "conv_id").alias("id"), "text")).unionByName(core)
 
 
-@query("SELECT string_agg('### Source ' || r || ' (score ' || printf('%.3f', n / 1000.0) || ', ' || lang || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS answer FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars AS n, lang, left(text, 100) AS t FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
-def context_format(spark, sf_dir):
+@query("SELECT 'class::' || doc_id AS id, left(text, 50) AS text FROM documents UNION ALL SELECT 'module::' || page_id, url FROM pages UNION ALL SELECT 'endpoints::' || conv_id, string_agg(role, ',' ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'stats::core', 'documents: ' || count(*) FROM documents")
+def node_union(spark, sf_dir):
+    return _nodes(spark, sf_dir, F.left("text", F.lit(50)))
+
+
+@query("SELECT 'class::' || doc_id AS id, text FROM documents UNION ALL SELECT 'module::' || page_id, url FROM pages UNION ALL SELECT 'endpoints::' || conv_id, string_agg(role, ',' ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'stats::core', 'documents: ' || count(*) FROM documents")
+def node_union_whole(spark, sf_dir):
+    return _nodes(spark, sf_dir, F.col("text"))
+
+
+def _context(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     docs = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
-    nodes = docs.select(F.col("doc_id").alias("id"), F.left("text", F.lit(100)).alias("text"), F.create_map(F.lit("type"), F.col("lang")).alias("metadata"))
+    nodes = docs.select(F.col("doc_id").alias("id"), text.alias("text"), F.create_map(F.lit("type"), F.col("lang")).alias("metadata"))
     rank = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))  # five rows
     hits = docs.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"), rank.alias("rank"))
     return retrieval.extractive_answer(hits, nodes, "").select(F.substr("answer", F.lit(3)).alias("answer"))
 
 
+@query("SELECT string_agg('### Source ' || r || ' (score ' || printf('%.3f', n / 1000.0) || ', ' || lang || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS answer FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars AS n, lang, left(text, 100) AS t FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
+def context_format(spark, sf_dir):
+    return _context(spark, sf_dir, F.left("text", F.lit(100)))
+
+
+@query("SELECT string_agg('### Source ' || r || ' (score ' || printf('%.3f', n / 1000.0) || ', ' || lang || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS answer FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars AS n, lang, text AS t FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
+def context_format_whole(spark, sf_dir):
+    return _context(spark, sf_dir, F.col("text"))
+
+
 @query("SELECT name, model FROM (VALUES ('', 'model-b'), ('model-a', 'model-a'), ('model-old', 'model-b'), ('model-a-20250514', 'model-a'), ('model-old-20240101', 'model-b'), ('other', 'other'), ('other-20250101', 'other-20250101')) t(name, model)")
 def model_alias_resolve(spark, sf_dir):
     names = ("", "model-a", "model-old", "model-a-20250514", "model-old-20240101", "other", "other-20250101")
