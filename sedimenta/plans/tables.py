@@ -270,16 +270,12 @@ def first_wins_dedupe(spark, sf_dir):
     return merge.first_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
 
 
-@query(
-    "SELECT c_mktsegment, p_brand, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linenumber = 1 GROUP BY ALL"
-)
-def call_chain_trace(spark, sf_dir):
+def _chain(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    items = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
     chain = flows.call_chain(
         t("customer").select("c_custkey", "c_mktsegment"),
         (t("orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey"),
-        (items, "o_orderkey", "l_orderkey"),
+        (items.select("l_orderkey", "l_partkey", "l_suppkey"), "o_orderkey", "l_orderkey"),
         (t("part").select("p_partkey", "p_brand"), "l_partkey", "p_partkey"),
         (t("supplier").select("s_suppkey", "s_nationkey"), "l_suppkey", "s_suppkey"),
         (t("nation").select("n_nationkey", "n_name"), "s_nationkey", "n_nationkey"),
@@ -287,14 +283,40 @@ def call_chain_trace(spark, sf_dir):
     return chain.groupBy("c_mktsegment", "p_brand", "n_name").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT c_mktsegment, p_brand, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linenumber = 1 GROUP BY ALL"
+)
+def call_chain_trace(spark, sf_dir):
+    return _chain(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+@query(
+    "SELECT c_mktsegment, p_brand, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL"
+)
+def call_chain_trace_whole(spark, sf_dir):
+    return _chain(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _stem_lookup(part: DataFrame, tested: DataFrame) -> DataFrame:
+    stems = tested.groupBy(X.repository_stem(F.concat("p_brand", F.lit("Repository"))).alias("stem")).agg(F.count("*").alias("n"))
+    rows = part.select("p_partkey", X.repository_stem(F.concat("p_brand", F.lit("CustomRepositoryImpl"))).alias("stem"))
+    return rows.join(stems, "stem", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     "SELECT p_partkey, coalesce(t.n, 0) AS n FROM part p LEFT JOIN (SELECT lower(replace(replace(p_brand || 'Repository', 'Repository', ''), 'Impl', '')) AS stem, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1) t ON t.stem = lower(replace(replace(replace(p_brand || 'CustomRepositoryImpl', 'Repository', ''), 'Impl', ''), 'Custom', ''))"
 )
 def stem_lookup_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    stems = part.where("p_size < 10").groupBy(X.repository_stem(F.concat("p_brand", F.lit("Repository"))).alias("stem")).agg(F.count("*").alias("n"))
-    rows = part.select("p_partkey", X.repository_stem(F.concat("p_brand", F.lit("CustomRepositoryImpl"))).alias("stem"))
-    return rows.join(stems, "stem", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
+    return _stem_lookup(part, part.where("p_size < 10"))
+
+
+@query(
+    "SELECT p_partkey, coalesce(t.n, 0) AS n FROM part p LEFT JOIN (SELECT lower(replace(replace(p_brand || 'Repository', 'Repository', ''), 'Impl', '')) AS stem, count(*) AS n FROM part GROUP BY 1) t ON t.stem = lower(replace(replace(replace(p_brand || 'CustomRepositoryImpl', 'Repository', ''), 'Impl', ''), 'Custom', ''))"
+)
+def stem_lookup_join_whole(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return _stem_lookup(part, part)
 
 
 @query("SELECT event_id, user_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 1000000000) AS span_end FROM events")

@@ -1,5 +1,7 @@
 """Queries over whole texts and tables against plain Python."""
 
+from collections import Counter
+
 from sedimenta.plans import tables
 
 
@@ -30,3 +32,19 @@ def test_whole_texts_carried_forward(spark, sf_dir):
     got = {(r["conv_id"], r["turn"]): r["doc"] for r in tables.QUERIES["javadoc_carry_forward_whole"](spark, sf_dir).collect()}
     assert max(len(x) for x in want.values() if x) > 20
     assert got == want
+
+
+def test_whole_chain(spark, sf_dir):
+    part, supplier, nation, customer, orders = ({r[k]: r for r in rows(spark, sf_dir, t)} for t, k in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey")))
+    items = [r for r in rows(spark, sf_dir, "lineitem") if r["l_orderkey"] in orders and r["l_partkey"] in part and r["l_suppkey"] in supplier]
+    want = Counter((customer[orders[r["l_orderkey"]]["o_custkey"]]["c_mktsegment"], part[r["l_partkey"]]["p_brand"], nation[supplier[r["l_suppkey"]]["s_nationkey"]]["n_name"]) for r in items)
+    got = {tuple(r)[:3]: r["n"] for r in tables.QUERIES["call_chain_trace_whole"](spark, sf_dir).select("c_mktsegment", "p_brand", "n_name", "n").collect()}
+    assert any(r["l_linenumber"] != 1 for r in items)
+    assert got == want
+
+
+def test_whole_stems(spark, sf_dir):
+    part = rows(spark, sf_dir, "part")
+    n = Counter(r["p_brand"] for r in part)
+    got = {r["p_partkey"]: r["n"] for r in tables.QUERIES["stem_lookup_join_whole"](spark, sf_dir).collect()}
+    assert got == {r["p_partkey"]: n[r["p_brand"]] for r in part}
