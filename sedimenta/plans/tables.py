@@ -122,6 +122,18 @@ def coverage_gap_anti(spark, sf_dir):
     return names.join(stems, F.contains("low", F.col("stem")) | F.contains("stem", F.col("low")), "left_anti").select("c_custkey")
 
 
+@query(
+    "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS VARCHAR) AS snippet, CASE WHEN day(o_orderdate) < 10 THEN 'medium' ELSE 'high' END AS severity FROM orders JOIN customer c ON c_custkey = o_custkey WHERE day(o_orderdate) >= 5 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR) AS stem FROM supplier) s WHERE contains(CAST(c_custkey AS VARCHAR), stem) OR contains(stem, CAST(c_custkey AS VARCHAR)))"
+)
+def coverage_gaps_whole(spark, sf_dir):
+    """Customers as classes, their orders as methods with the day as complexity, balances of suppliers as stems of tests."""
+    key = lambda c: F.col(c).cast("string")
+    classes = table(spark, sf_dir, "customer").select(key("c_custkey").alias("file_path"), F.lit(0).alias("class_ord"), key("c_custkey").alias("name"))
+    methods = table(spark, sf_dir, "orders").select(key("o_custkey").alias("file_path"), F.lit(0).alias("class_ord"), key("o_orderkey").alias("signature"), F.dayofmonth("o_orderdate").alias("cyclomatic_complexity"))
+    tests = table(spark, sf_dir, "supplier").select(F.concat(F.col("s_acctbal").cast("bigint").cast("string"), F.lit("Test.java")).alias("path"))
+    return scan.coverage_gaps(classes, methods, tests).select("path", "snippet", "severity")
+
+
 @query(
     "SELECT role, count(*) AS n FROM (SELECT CASE WHEN p_brand = 'Brand#1' OR ends_with(p_brand, '1') THEN 'service' WHEN ends_with(p_brand, '2') THEN 'repository' WHEN ends_with(p_type, 'Repository') THEN 'repository' WHEN contains(p_name, 'Dto') THEN 'dto' WHEN contains(p_name, 'Token') OR contains(p_name, 'Auth') OR contains(p_name, 'Jwt') OR contains(p_name, 'Security') THEN 'security' WHEN contains(p_name, 'Config') THEN 'config' ELSE 'model' END AS role FROM part) GROUP BY 1"
 )

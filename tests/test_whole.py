@@ -48,3 +48,13 @@ def test_whole_stems(spark, sf_dir):
     n = Counter(r["p_brand"] for r in part)
     got = {r["p_partkey"]: r["n"] for r in tables.QUERIES["stem_lookup_join_whole"](spark, sf_dir).collect()}
     assert got == {r["p_partkey"]: n[r["p_brand"]] for r in part}
+
+
+def test_gaps_of_whole_tables(spark, sf_dir):
+    stems = {str(int(r["s_acctbal"])) for r in rows(spark, sf_dir, "supplier")}
+    keys = [str(r["c_custkey"]) for r in rows(spark, sf_dir, "customer")]
+    bare = {k for k in keys if not any(s in k or k in s for s in stems)}
+    assert 0 < len(bare) < len(keys)
+    days = {str(r["o_orderkey"]): (str(r["o_custkey"]), r["o_orderdate"].day) for r in rows(spark, sf_dir, "orders")}
+    want = {(path, key, "medium" if day < 10 else "high") for key, (path, day) in days.items() if day >= 5 and path in bare}
+    assert {tuple(r) for r in tables.QUERIES["coverage_gaps_whole"](spark, sf_dir).collect()} == want
