@@ -122,7 +122,7 @@ class Featurizer:
 
 
 def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 3, odds: float = 12.0) -> Lexicon:
-    """Words and word beginnings that are in least toxic texts or more (and in one of 200), and odds times as often there as in others. Toxic texts
+    """Words and word beginnings that are in least toxic texts or more, and odds times as often there as in others. Toxic texts
     that are mostly a copy of earlier ones aren't counted: their words would seem to be common to many."""
     parts = lambda text: (found := {_EDGES.sub("", w).lower() for w in text.split()}) | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
     toxic, clean, seen = Counter(), Counter(), set()
@@ -134,7 +134,7 @@ def learn_lexicon(texts: list[str], labels: np.ndarray, least: int = 3, odds: fl
             seen |= runs
             if not copied:
                 toxic.update(parts(text))
-    known = {w for w, n in toxic.items() if n >= max(least, np.count_nonzero(labels) / 200)}
+    known = {w for w, n in toxic.items() if n >= least}
     for text, y in zip(texts, labels, strict=True):
         if not y:
             clean.update(parts(text) & known)
