@@ -7,7 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from sedimenta.workers import reach
 
-#: Rows that go to a Python worker at once, so that a batch of long texts stays bounded.
-BATCH_ROWS = 500
+#: Rows that go to a Python worker at once, so that a batch of long texts stays bounded, where the session has no choice of its own.
+BATCH_ROWS, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Arrow batches are cut again so that a step never holds more bytes of text than this.
 STEP_BYTES = 2 << 20
@@ -36,6 +36,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Paths of scratch tables written within the open scopes, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = reach(df.sparkSession)
@@ -46,30 +50,61 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for paths in _scopes[-1:]:
+        paths.append(path)
     return out
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the scratch tables that are written inside when it ends, but those given to the function that it yields."""
+    _scopes.append([])
+    kept = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        paths = _scopes.pop()
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
 
 
 def discard(df: DataFrame) -> None:
     """Delete a scratch table that materialize() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.scratch_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of sf_dir; what goes from it to Python goes in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
+    """A table of sf_dir. A session that has Spark's default for rows in a batch to Python gets BATCH_ROWS; one that has chosen
+    a number keeps it."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return reach(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Name of the column that tells rows apart; no table of a user has it.
-ROW = "__row"
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of docs has in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 #: Rows of narrow keys up to which a table of them may be broadcast: some tens of MB.
@@ -82,13 +117,14 @@ def few(df: DataFrame, most: int | None = None) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with ROW, a number for each row: the doc_id where that is unique and not null; else the table is stored with
-    numbers, so that they stay what they are."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the name of that column, which docs hadn't: the doc_id where that is unique and
+    not null; else the table is stored with numbers, so that they stay what they are."""
+    name = free_name(docs, "__row")
     n, full, apart = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == full == apart and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        return docs.withColumn(ROW, F.col("doc_id").cast("bigint"))
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+        return docs.withColumn(name, F.col("doc_id").cast("bigint")), name
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

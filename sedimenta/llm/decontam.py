@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import ROW, keyed, materialize
+from sedimenta.llm.common import keyed, materialize
 
 WINDOW = 8
 
@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, items_f
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, items_from: int = 1) -> DataFrame:
     """The rows of docs in which windows of fewer than items_from items occur; all columns as they are."""
-    rows = keyed(docs)
-    found = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), items, size, items_from).where("contaminated")
-    bad = materialize(found.select(F.col("doc_id").alias(ROW)), "contaminated")
-    return rows.join(_bounded(bad, BROADCAST_ROWS), ROW, "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    found = contamination(rows.select(F.col(row).alias("doc_id"), "text"), items, size, items_from).where("contaminated")
+    bad = materialize(found.select(F.col("doc_id").alias(row)), "contaminated")
+    return rows.join(_bounded(bad, BROADCAST_ROWS), row, "left_anti").select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import ROW, column, few, joined_batches, keyed, materialize, small_batches, text_bytes
+from sedimenta.llm.common import column, few, joined_batches, keyed, materialize, small_batches, text_bytes
 from sedimenta.llm.components import Union, components
 from sedimenta.llm.shingles import shingle_sets, signatures
 
@@ -298,10 +298,10 @@ def _per_row(rows: DataFrame, of_class: DataFrame, hot_share: float = 0.001) ->
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs of which no near-duplicate with a smaller doc_id is there; all columns as they are. Of equal doc_ids
     one row of a component stays, null doc_ids give way to others, and rows without words all stay."""
-    rows = keyed(docs)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("__component"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    ids = materialize(rows.select("doc_id", ROW).join(found, ROW), "component-rows")
-    first = ids.groupBy("__component").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    gone = materialize(ids.select(ROW).join(first, ROW, "left_anti"), "copies")
-    return rows.join(F.broadcast(gone) if few(gone) else gone, ROW, "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("__component"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    ids = materialize(rows.select("doc_id", row).join(found, row), "component-rows")
+    first = ids.groupBy("__component").agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = materialize(ids.select(row).join(first, row, "left_anti"), "copies")
+    return rows.join(F.broadcast(gone) if few(gone) else gone, row, "left_anti").select(docs.columns)

@@ -1,9 +1,9 @@
 """Removal of repeated substrings by sharded suffix arrays.
 
-Every byte goes that some string of LENGTH bytes covers which also starts anywhere else. Texts are UTF-8 bytes, matches
-never cross texts, overlaps count, and strings are judged on the input.
+Every byte goes that some string of `length` bytes covers which also starts anywhere else. Texts are UTF-8 bytes, matches
+never cross texts, overlaps count, and strings are judged on the input. The length is a parameter, LENGTH by default.
 
-1. Each window of LENGTH bytes has an anchor: of the strings of GRAM bytes in it the one with the smallest hash. Equal
+1. Each window of that length has an anchor: of the strings of half its length in it the one with the smallest hash. Equal
    windows have equal anchors at equal places, so a window can only repeat where its anchor does. Neighbouring windows
    mostly share one; together they are the context of that anchor. Anchors that occur once are done with.
 2. Contexts that are equal as a whole repeat in all their windows. One of each kind, with its number, goes on where an
@@ -11,32 +11,41 @@ never cross texts, overlaps count, and strings are judged on the input.
 3. Contexts are dealt into shards by anchor. In a shard, what follows each anchor, and backwards what precedes it, are
    sorted as suffixes: ranks of words are refined by doubling, only groups that still tie are sorted again
    (Larsson-Sadakane), and common prefixes follow from each suffix to the next one (Kasai), all contexts in step. Two
-   windows d bytes before their anchor are equal if their contexts agree on d bytes backwards and LENGTH - d forwards.
+   windows d bytes before their anchor are equal if their contexts agree on d bytes backwards and length - d forwards.
 4. An anchor of very many contexts is spread over shards. These give out the sorted fingerprints of the windows they know,
    cut by ranges; for each range the lists of shards are merged by binary search in each other.
 5. The repeated windows of a text are united and cut out.
 
-A null text is empty. Repeated rows are copies like any other: a text of LENGTH bytes or more that occurs twice goes
+A null text is empty. Repeated rows are copies like any other: a text of that length or more that occurs twice goes
 whole. Null or repeated doc_ids get their own rows. Other columns pass through keep_unique() untouched.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import ROW, column, keyed, materialize, small_batches
+from sedimenta.llm.common import column, discard, few, free_name, keyed, materialize, small_batches
 from sedimenta.llm.shingles import mix
 
-LENGTH, GRAM = 400, 200
-WIDTH = LENGTH - GRAM + 1
+LENGTH = 400
+
+
+def gram(length: int) -> int:
+    """Bytes of an anchor."""
+    return length // 2
+
+
+def width(length: int) -> int:
+    """Places that an anchor can have in a window."""
+    return length - gram(length) + 1
+
 
 #: Bytes of a text that are looked at in one step, and of contexts in a shard.
 STEP, SHARD_BYTES = 1 << 18, 3 << 20
@@ -44,10 +53,12 @@ STEP, SHARD_BYTES = 1 << 18, 3 << 20
 #: An anchor of more kinds of contexts is spread over shards.
 SPREAD = 4096
 
-#: Fingerprints in a range when shards are merged, and keys up to which a table of them may be broadcast.
-RANGE, BROADCAST_KEYS = 1 << 20, 1_000_000
+#: Fingerprints in a range when shards are merged.
+RANGE = 1 << 20
 
-REMOVED = "__removed"
+#: Bytes that a broadcast table of keys may take on each executor; KEY_BYTES a row, as a hash relation of one or two longs
+#: takes them at the most.
+BROADCAST_BYTES, KEY_BYTES = 16 << 20, 80
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 28) - 1)
@@ -84,26 +95,31 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 :])
 
 
-_rolling: dict[int, Rolling] = {}
+_rolling: dict[tuple[int, int], Rolling] = {}
+
 
+def _roll(n: int, base: int = 0) -> Rolling:
+    """Tables for texts of n bytes, made once in each worker."""
+    if (n, base) not in _rolling:
+        _rolling[n, base] = Rolling(n, _BASES[base])
+    return _rolling[n, base]
 
-def contexts(text: bytes) -> tuple[np.ndarray, ...]:
+
+def contexts(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """anchor, kind, place, lo, hi: for each run of windows with one anchor its hash, the hash of the context, its place, and
     the first and last start of a window."""
-    if 0 not in _rolling:
-        _rolling[0] = Rolling(STEP + LENGTH)
-    roll, parts = _rolling[0], []
+    roll, parts, size = _roll(STEP + length), [], gram(length)
     data = np.frombuffer(text, np.uint8)
-    for at in range(0, len(data) - LENGTH + 1, STEP):
-        piece = data[at : at + STEP + LENGTH - 1]
+    for at in range(0, len(data) - length + 1, STEP):
+        piece = data[at : at + STEP + length - 1]
         sums = roll.sums(piece)
-        n = len(piece) - GRAM + 1
-        h = mix((sums[GRAM:] - sums[:-GRAM]) * roll.inverse[:n])
-        least = _window_least((h & ~_POSITION) | np.arange(n, dtype=np.uint64), WIDTH) & _POSITION
+        n = len(piece) - size + 1
+        h = mix((sums[size:] - sums[:-size]) * roll.inverse[:n])
+        least = _window_least((h & ~_POSITION) | np.arange(n, dtype=np.uint64), width(length)) & _POSITION
         lo = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
         hi = np.append(lo[1:], len(least)) - 1
         place = least[lo].astype(np.int64)
-        kind = roll.between(sums, lo, hi + LENGTH)
+        kind = roll.between(sums, lo, hi + length)
         kind = mix(kind + ((place - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
         parts.append((h[place], kind, place + at, lo + at, hi + at))
     if not parts:
@@ -111,14 +127,14 @@ def contexts(text: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
+def anchor_table(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, anchor, kind, place, lo, hi of every context of docs (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             rows, found = [], []
             for row, text in zip(column(batch, "row").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                c = contexts((text or "").encode())
+                c = contexts((text or "").encode(), length)
                 rows.append(np.full(len(c[0]), row, np.int64)), found.append(c)
             anchor, kind, place, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
             ints = (pa.array(x.astype(np.int32)) for x in (place, lo, hi))
@@ -205,33 +221,33 @@ def sorted_rows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """Contexts of some anchors: bytes, place of the anchor in each, and how many of the kind there are."""
 
-    def __init__(self, texts: list[bytes], lead: np.ndarray, times: np.ndarray):
-        self.lead, self.times, self.m = lead, times, len(texts)
+    def __init__(self, texts: list[bytes], lead: np.ndarray, times: np.ndarray, length: int = LENGTH):
+        self.lead, self.times, self.m, self.length, self.width = lead, times, len(texts), length, width(length)
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.least = lead - (self.size - LENGTH)  # of the distances at which windows start before the anchor
-        self.data = np.zeros((self.m, LENGTH + WIDTH + 7), np.uint8)
+        self.least = lead - (self.size - length)  # of the distances at which windows start before the anchor
+        self.data = np.zeros((self.m, length + self.width + 7), np.uint8)
         for i, t in enumerate(texts):
             self.data[i, : len(t)] = np.frombuffer(t, np.uint8)
 
     def classes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each distance d the contexts that have such a window, and a number for each that equal windows share."""
-        cols = np.arange(LENGTH)[None, :]
+        cols = np.arange(-(-self.length // 8) * 8)[None, :]
         at = np.minimum(self.lead[:, None] + cols, self.data.shape[1] - 1)
         right = np.where(self.lead[:, None] + cols < self.size[:, None], np.take_along_axis(self.data, at, 1), 0).astype(np.uint8)
-        back = self.lead[:, None] - 1 - np.arange(-(-WIDTH // 8) * 8)[None, :]
+        back = self.lead[:, None] - 1 - np.arange(-(-self.width // 8) * 8)[None, :]
         left = np.where(back >= 0, np.take_along_axis(self.data, np.maximum(back, 0), 1), 0).astype(np.uint8)
         (ro, rc), (lo, lc) = sorted_rows(right), sorted_rows(left)
         ra, la = np.empty(self.m, np.int64), np.empty(self.m, np.int64)
-        for d in range(WIDTH):
+        for d in range(self.width):
             able = np.flatnonzero((self.least <= d) & (d <= self.lead))
             if len(able):
-                ra[ro] = np.cumsum(rc < LENGTH - d)
+                ra[ro] = np.cumsum(rc < self.length - d)
                 la[lo] = np.cumsum(lc < d)
                 yield d, able, ra[able] * (self.m + 1) + la[able]
 
     def repeated(self) -> np.ndarray:
-        """(contexts, WIDTH): whether the window that starts d bytes before the anchor occurs again in the shard."""
-        out = np.zeros((self.m, WIDTH), bool)
+        """(contexts, width): whether the window that starts d bytes before the anchor occurs again in the shard."""
+        out = np.zeros((self.m, self.width), bool)
         for d, able, number in self.classes():
             _, inverse = np.unique(number, return_inverse=True)
             out[able, d] = np.bincount(inverse, self.times[able])[inverse] > 1
@@ -239,17 +255,15 @@ class Shard:
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of every window, with its context and distance as one number."""
-        if 1 not in _rolling:
-            _rolling[1], _rolling[2] = (Rolling(LENGTH + WIDTH + 8, b) for b in _BASES)
-        i, d = np.nonzero((self.least[:, None] <= np.arange(WIDTH)) & (np.arange(WIDTH) <= self.lead[:, None]))
+        i, d = np.nonzero((self.least[:, None] <= np.arange(self.width)) & (np.arange(self.width) <= self.lead[:, None]))
         start = self.lead[i] - d
         got = []
-        for k in (1, 2):
-            roll = _rolling[k]
+        for k in (0, 1):
+            roll = _roll(self.length + self.width + 8, k)
             sums = np.zeros((self.m, self.data.shape[1] + 1), np.uint64)
             np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * roll.power[: self.data.shape[1]], axis=1, out=sums[:, 1:])
-            got.append(mix((sums[i, start + LENGTH] - sums[i, start]) * roll.inverse[start]))
-        return got[0], got[1], i * WIDTH + d
+            got.append(mix((sums[i, start + self.length] - sums[i, start]) * roll.inverse[start]))
+        return got[0], got[1], i * self.width + d
 
 
 def _intervals(marks: np.ndarray) -> np.ndarray:
@@ -267,7 +281,7 @@ def _found(rows: list, lo: list, hi: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lo, i32), pa.array(hi, i32), *empty], [x.split()[0] for x in FOUND.split(", ")])
 
 
-def _solver(ranges: int):
+def _solver(ranges: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("shard", "spread", "row", "place", "lo", "times", "text")
         rows = (r for b in batches for r in zip(*(column(b, x).to_pylist() for x in names), strict=True))
@@ -275,7 +289,7 @@ def _solver(ranges: int):
             group = list(group)
             lead = np.array([r[3] - r[4] for r in group], np.int64)
             times = np.array([r[5] for r in group], np.int64)
-            s = Shard([r[6] for r in group], lead, times)
+            s = Shard([r[6] for r in group], lead, times, length)
             marks = s.repeated()
             out: tuple[list, list, list] = ([], [], [])
             for i in np.flatnonzero((times == 1) & marks.any(1)).tolist():
@@ -286,8 +300,8 @@ def _solver(ranges: int):
             if not spread:
                 continue
             one, two, at = s.fingerprints()
-            start = np.array([r[3] for r in group], np.int64)[at // WIDTH] - at % WIDTH
-            owner = np.where(times[at // WIDTH] == 1, np.array([r[2] for r in group], np.int64)[at // WIDTH], -1)
+            start = np.array([r[3] for r in group], np.int64)[at // s.width] - at % s.width
+            owner = np.where(times[at // s.width] == 1, np.array([r[2] for r in group], np.int64)[at // s.width], -1)
             part = (one >> np.uint64(33)).astype(np.int64) * ranges >> 31
             order = np.lexsort((two, one))
             order = order[np.argsort(part[order], kind="stable")]
@@ -338,47 +352,43 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), start, start], ["row", "lo", "hi"])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of tables that are gone; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _keys(df: DataFrame) -> DataFrame:
-    """A table of keys, to be broadcast if it is small, by count."""
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+    """A table of keys, to be broadcast if it surely takes at most BROADCAST_BYTES; else Spark joins by shuffle and splits
+    skewed partitions."""
+    return F.broadcast(df) if few(df, BROADCAST_BYTES // KEY_BYTES) else df
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, lo, hi: runs of starts of windows that occur again, of docs (row, text)."""
-    spark = docs.sparkSession
-    every = materialize(anchor_table(docs), "anchors")
+    every = materialize(anchor_table(docs, length), "anchors")
     often = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
-    again = every.join(_keys(often), "anchor", "left_semi")
+    again = materialize(every.join(_keys(often), "anchor", "left_semi"), "again")
+    discard(every), discard(often)
     first = F.min(F.struct("row", "place", "lo", "hi")).alias("first")
     kinds = materialize(again.groupBy("anchor", "kind").agg(F.count("*").alias("times"), first), "kinds")
-    release(spark)
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
     per = materialize(per.select("anchor", "kinds"), "per-anchor")
     # Windows of contexts of which there are several.
-    whole = again.join(_keys(kinds.where("times > 1").select("anchor", "kind")), ["anchor", "kind"], "left_semi").select("row", "lo", "hi")
-    whole = materialize(whole, "whole")
+    several = materialize(kinds.where("times > 1").select("anchor", "kind"), "several")
+    whole = materialize(again.join(_keys(several), ["anchor", "kind"], "left_semi").select("row", "lo", "hi"), "whole")
+    discard(again), discard(several)
     # One of each kind where an anchor has several.
-    sent = kinds.join(_keys(per), "anchor").select("anchor", "kind", "kinds", "times", "first.*")
-    sent = materialize(sent, "sent")
-    size = sent.agg(F.sum(F.col("hi") - F.col("lo") + LENGTH)).first()[0]
+    sent = materialize(kinds.join(_keys(per), "anchor").select("anchor", "kind", "kinds", "times", "first.*"), "sent")
+    discard(kinds), discard(per)
+    size = sent.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0]
     if not size:
         return whole
     shards = max(1, -(-size // SHARD_BYTES))
     key = F.when(F.col("kinds") > SPREAD, F.xxhash64("anchor", "kind")).otherwise(F.xxhash64("anchor"))
     lists = sent.withColumn("shard", F.pmod(key, F.lit(shards))).withColumn("spread", F.col("kinds") > SPREAD)
     lists = lists.groupBy("row").agg(F.collect_list(F.struct("shard", "spread", "place", "lo", "hi", "times")).alias("wanted"))
-    texts = docs.join(_keys(materialize(sent.select("row").distinct(), "sent-rows")), "row", "left_semi").select("row", "text")
-    cut = lists.join(texts, "row").select("row", "text", "wanted").mapInArrow(_cut, "shard bigint, spread boolean, row bigint, place int, lo int, times bigint, text binary")
+    rows = materialize(sent.select("row").distinct(), "sent-rows")
+    texts = docs.join(_keys(rows), "row", "left_semi").select("row", "text")
+    cut = lists.join(texts, "row").select("row", "text", "wanted").mapInArrow(_cutter(length), "shard bigint, spread boolean, row bigint, place int, lo int, times bigint, text binary")
     ordered = cut.repartition("shard", "spread").sortWithinPartitions("shard", "spread")
     spread = sent.where(F.col("kinds") > SPREAD).agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
-    found = materialize(ordered.mapInArrow(_solver(max(1, -(-spread // RANGE))), FOUND), "found")
-    release(spark)
+    found = materialize(ordered.mapInArrow(_solver(max(1, -(-spread // RANGE)), length), FOUND), "found")
+    discard(sent), discard(rows)
     out = whole.unionByName(found.where("range is null").select("row", "lo", "hi"))
     if spread:
         merged = found.where("range is not null").select("range", "shard", "prints", "windows").repartition("range").sortWithinPartitions("range", "shard")
@@ -386,48 +396,55 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts the wanted contexts out of texts."""
     names = ["shard", "spread", "row", "place", "lo", "times", "text"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    for batch in small_batches(batches):
-        out: list[tuple] = []
-        for row, text, wanted in zip(*(column(batch, x).to_pylist() for x in ("row", "text", "wanted")), strict=True):
-            raw = text.encode()
-            out += [(w["shard"], w["spread"], row, w["place"], w["lo"], w["times"], raw[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    put = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out: list[tuple] = []
+            for row, text, wanted in zip(*(column(batch, x).to_pylist() for x in ("row", "text", "wanted")), strict=True):
+                raw = text.encode()
+                for w in wanted:
+                    out.append((w["shard"], w["spread"], row, w["place"], w["lo"], w["times"], raw[w["lo"] : w["hi"] + length]))
+                    if len(out) > 10_000:
+                        yield put(out)
+                        out = []
+            if out:
+                yield put(out)
+
+    return run
+
+
+def spans(lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """(spans, 2): the bytes that windows starting at lo..hi cover, united; ends are exclusive."""
     order = np.argsort(lo, kind="stable")
-    lo, end = lo[order], np.maximum.accumulate(hi[order] + LENGTH)
+    lo, end = lo[order], np.maximum.accumulate(hi[order] + length)
     new = np.append(True, lo[1:] > end[:-1])
     return np.stack([lo[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]], 1)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs, which have ROW, with REMOVED: the starts and ends of removed spans one after the other, empty where nothing goes.
+def with_spans(docs: DataFrame, row: str, removed: str, length: int = LENGTH) -> DataFrame:
+    """docs, whose rows are numbered by row, with removed: the starts and ends of removed spans one after the other, empty
+    where nothing goes.
     Texts of which nothing goes need not meet the spans in a shuffle, as long as the rows that do are few enough to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [spans(np.array([w["lo"] for w in ws]), np.array([w["hi"] for w in ws])).ravel() for ws in column(batch, "ws").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(out, pa.list_(pa.int64()))], [ROW, REMOVED])
+            out = [spans(np.array([w["lo"] for w in ws]), np.array([w["hi"] for w in ws]), length).ravel() for ws in column(batch, "ws").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(out, pa.list_(pa.int64()))], [row, removed])
 
-    found = repeated_windows(docs.select(F.col(ROW).alias("row"), "text"))
+    found = repeated_windows(docs.select(F.col(row).alias("row"), "text"), length)
     grouped = found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ws"))
-    united = materialize(grouped.mapInArrow(run, f"{ROW} bigint, {REMOVED} array<bigint>"), "spans")
-    release(docs.sparkSession)
+    united = materialize(grouped.mapInArrow(run, f"{row} bigint, {removed} array<bigint>"), "spans")
     none = F.array().cast("array<bigint>")
-    rows = united.select(ROW)
-    if rows.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
-        return docs.join(united, ROW, "left").withColumn(REMOVED, F.coalesce(REMOVED, none))
-    touched = docs.join(F.broadcast(rows), ROW, "left_semi").join(united, ROW)
-    return touched.unionByName(docs.join(F.broadcast(rows), ROW, "left_anti").withColumn(REMOVED, none))
+    rows = united.select(row)
+    if not few(rows, BROADCAST_BYTES // KEY_BYTES):
+        return docs.join(united, row, "left").withColumn(removed, F.coalesce(removed, none))
+    touched = docs.join(F.broadcast(rows), row, "left_semi").join(united, row)
+    return touched.unionByName(docs.join(F.broadcast(rows), row, "left_anti").withColumn(removed, none))
 
 
 def _kept(raw: bytes, removed: list[int]) -> bytes:
@@ -435,13 +452,13 @@ def _kept(raw: bytes, removed: list[int]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def removal_digests(docs: DataFrame) -> DataFrame:
+def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = []
-            for text, removed in zip(column(batch, "text").to_pylist(), column(batch, REMOVED).to_pylist(), strict=True):
+            for text, removed in zip(column(batch, "text").to_pylist(), column(batch, "removed").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 kept = _kept(raw, removed)
                 out.append((len(raw), len(raw) - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest()))
@@ -449,18 +466,21 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(keyed(docs.select("doc_id", "text"))).select("doc_id", "text", REMOVED).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    numbered, row = keyed(docs.select("doc_id", "text"))
+    return with_spans(numbered, row, "removed", length).select("doc_id", "text", "removed").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def keep_unique(docs: DataFrame) -> DataFrame:
+def keep_unique(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows with what is left of their texts, all other columns as they are. Bytes of a character of which a part goes
     are dropped, and a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            removed = column(batch, REMOVED).to_pylist()
-            texts = [t if t is None or not r else _kept(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), removed, strict=True)]
-            names = [x for x in batch.schema.names if x != REMOVED]
+            gone = column(batch, removed).to_pylist()
+            texts = [t if t is None or not r else _kept(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), gone, strict=True)]
+            names = [x for x in batch.schema.names if x != removed]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else column(batch, x) for x in names], names)
 
-    return with_spans(keyed(docs)).select(*docs.columns, REMOVED).mapInArrow(run, docs.schema)
+    numbered, row = keyed(docs)
+    removed = free_name(docs, "__removed")
+    return with_spans(numbered, row, removed, length).select(*docs.columns, removed).mapInArrow(run, docs.schema)

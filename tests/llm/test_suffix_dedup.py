@@ -51,11 +51,11 @@ def test_whole_table(spark, sf_dir, small):
     assert any(r[2] for r in want)
 
 
-@pytest.mark.parametrize(("spread", "broadcast", "step"), [(4096, 2_000_000, 1 << 20), (1, 0, 1000)])
+@pytest.mark.parametrize(("spread", "broadcast", "step"), [(4096, 16 << 20, 1 << 20), (1, 0, 1000)])
 def test_messy_table(spark, messy, empty, monkeypatch, spread, broadcast, step):
     """Also where every anchor is spread over shards, nothing is broadcast, and long texts go in short steps."""
     monkeypatch.setattr(D, "SPREAD", spread)
-    monkeypatch.setattr(D, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(D, "SHARD_BYTES", 1 << 14)
     monkeypatch.setattr(D, "RANGE", 500)
     rows = [(r[0], r[1]) for r in messy_rows()]
@@ -89,3 +89,17 @@ def test_edges_and_runs(spark):
         rows.append((10 + i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted((tuple(r) for r in D.removal_digests(df).collect()), key=key) == digests(rows)
+
+
+@pytest.mark.parametrize("length", [250, 401])
+def test_other_lengths(spark, messy, length):
+    """The length is a parameter, also one that is no multiple of the words that suffixes are sorted by."""
+    rows = [(r[0], r[1]) for r in messy_rows()]
+    want = sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute.removal(rows, length)), key=key)
+    assert sorted((tuple(r) for r in D.removal_digests(messy, length).collect()), key=key) == want
+
+
+def test_names_of_a_users_columns(spark):
+    df = spark.createDataFrame([(1, words(100, 1), 5, 6), (1, words(100, 1), 5, 6)], "doc_id bigint, text string, __ROW int, __removed int")
+    out = D.keep_unique(df).collect()
+    assert [tuple(r) for r in out] == [(1, "", 5, 6)] * 2
