@@ -2,6 +2,7 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -31,9 +32,11 @@ def test_forward_sums_all_segmentations():
     lattice = langid.Lattice(words, langid.Trie(pieces))
     got = lattice.totals(p[:, None])[:, 0]
     want = [slow_total(w, index, p) for w in words]
-    assert np.allclose(got, want)
-    # Backward gives the same totals.
-    assert np.allclose(lattice.backward(p[:, None])[:, 0, 0], want)
+    assert np.allclose(np.exp(got), want)
+    # Backward gives the same totals, and so does scoring in blocks of any size.
+    assert np.allclose(np.exp(lattice.backward(p[:, None])[:, 0, 0]), want)
+    for block in (1, 2, 3, 256):
+        assert np.allclose(np.exp(langid.log_totals(words, langid.Trie(pieces), p[:, None], block)[:, 0]), want)
 
 
 def test_fit_makes_the_sample_likelier():
@@ -87,7 +90,45 @@ def test_small_memo_gives_the_same(small):
     assert langid.Scorer(pieces, langs, table, 50).predict(texts) == langid.Scorer(pieces, langs, table).predict(texts)
 
 
-@pytest.mark.parametrize("word", ["x" * 500, "ß" * 41])
-def test_long_words(word):
-    _, table = langid.fit({"a": Counter({"x": 1})}, ["x", "▁x"])
-    assert langid.Scorer(["x", "▁x"], ["a"], table).predict([word])[0] == ["a"]
+def exact_log_total(word, index, p):
+    """The same sum for words of any length, place by place, in fractions."""
+    word, a = "▁" + word, [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        a.append(Fraction(0))
+        for i in range(max(0, j - 20), j):
+            k = index.get(word[i:j], -1)
+            if k >= 0 or j == i + 1:
+                a[j] += a[i] * Fraction(float(p[k if k >= 0 else -1]))
+        top = a[j].numerator.bit_length() - 400  # fractions of 400 bits are enough
+        if top > 0:
+            a[j] = Fraction(a[j].numerator >> top, 1) * 2**top / a[j].denominator
+    return math.log(a[-1].numerator) - math.log(a[-1].denominator)
+
+
+@pytest.mark.parametrize("length", [1, 15, 41, 42, 500, 1500])
+def test_words_of_any_length(length):
+    """No word is cut: the score is the sum over all segmentations of the whole, and no piece has a length of its own."""
+    pieces = sorted({"▁a", "▁ab", "b", "bc", "c", "abc", "▁", "a", "cc", "abcabcabcabcabcabc"})
+    index = {x: i for i, x in enumerate(pieces)}
+    p = np.append(np.linspace(0.01, 0.2, len(pieces)), langid.FLOOR)
+    rng = np.random.default_rng(length)
+    words = ["".join(rng.choice(list("abcx"), length)), ("abc" * length)[:length], "y" * length]
+    want = [exact_log_total(w, index, p) for w in words]
+    assert np.allclose(langid.log_totals([*words, "a"], langid.Trie(pieces), p[:, None])[:3, 0], want, rtol=1e-9)
+    assert np.allclose(langid.Lattice(words, langid.Trie(pieces)).totals(p[:, None])[:, 0], want, rtol=1e-9)
+    scorer = langid.Scorer(pieces, ["a", "b"], np.stack([p, p], 1))
+    assert np.allclose(scorer.of_batch([words[0]])[0], want[0], rtol=1e-9)
+
+
+def test_sample_is_bounded(spark):
+    """A doc_id, a text or a language that fills the table doesn't fill the sample; a language of long texts only is learned."""
+    rows = [(1, f"text number {chr(97 + i % 26)}{'b' * (i // 26)}", "en") for i in range(3000)] + [(1, "one copy", "de")] * 3000
+    rows += [(i + 10, "langer satz " * 6000 + chr(97 + i), "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    got = langid.training_rows(docs, rows=100).collect()
+    n = Counter(r["lang"] for r in got)
+    assert n["en"] == 100 and n["de"] == 1 and n["fr"] >= 1
+    assert Counter(r["lang"] for r in langid.training_rows(docs, rows=100, chars=1).collect()) == {"en": 1, "de": 1, "fr": 1}
+    assert {r["lang"] for r in langid.training_rows(docs, languages=2).collect()} == {"de", "en"}
+    ids = docs.selectExpr("concat('id-', doc_id) as doc_id", "text", "lang")
+    assert langid.identify(ids, langid.train(ids)).where("doc_id = 'id-1'").count() == 6000
