@@ -2,12 +2,13 @@
 
 Features are densities and rates of a whole text: words of a fixed lexicon and of one learned from labels, also where
 letters are replaced (id1ot, st*pid), their distance to words of second person, capitals, punctuation, obfuscated words.
-Trees, learned lexicon and calibration are fitted on a bounded sample of labelled rows: at most sample_rows of each
-label, those with the smallest hash of doc_id, none over sample_chars characters, outside the held-out fold. Everything
-else covers all rows and whole texts.
+Trees, learned lexicon and calibration are fitted on a bounded sample of labelled rows outside the held-out fold: at most
+sample_rows ids of each label, those with the smallest hash, one text an id, none over LONG characters, and no more of a
+label once they have sample_chars. Everything else covers all rows and whole texts.
 
-A null text counts as empty; it gets the score that its features, all 0, have. doc_ids with several labels count as toxic
-if one says so. Without both labels in the sample the score is that of the fixed lexicon. Further columns are ignored.
+A null text counts as empty; it gets the score that its features, all 0, have. doc_ids may have any type; those with
+several labels count as toxic if one says so, and of those with several texts one is in the sample. Without both labels in
+the sample the score is that of the fixed lexicon. Repeated rows are scored alike. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import column, small_batches
+from sedimenta.llm.common import column, materialize, small_batches
 
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
+#: The sample: ids and characters of a label, and characters of the longest text in it.
+SAMPLE_ROWS, SAMPLE_CHARS, LONG = 2000, 16_000_000, 50_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 250_000
@@ -222,8 +224,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None or self.knots is None:
             return np.where(x[:, NAMES.index("any")] > 0, 0.9, 0.05)
-        raw = self.trees.raw(x)
-        return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-np.clip(raw, -30, 30))), 0, 1)
+        return np.clip(np.interp(self.trees.raw(x), *self.knots), 0, 1)
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
@@ -242,28 +243,34 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     return Model(learn_lexicon(texts, labels), boost(x, labels, weights), isotonic(raw, labels, weights))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
-    """Labels alone are ranked; then the texts of at most 2 * rows ids are read. Weights give the sample the shares of all
-    labelled rows."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> tuple[DataFrame, dict[int, int]]:
+    """The bounded sample: mark, text and toxic of at most rows ids of each label, one text an id; and how many ids each label
+    has in all. Ids alone are ranked; then the texts of those that were picked are read."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
-    known = labels.where((fold != held_out) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where((fold != held_out) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("mark", F.xxhash64("doc_id"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # A label's smallest hashes are surely among four times as many that are expected under its share: few rows are ranked.
-    share = F.when(F.col("toxic") == 1, 4 * rows / max(totals.get(1, 0), 1)).otherwise(4 * rows / max(totals.get(0, 0), 1))
-    low = known.where((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) <= share)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = low.select("doc_id", "toxic", F.row_number().over(order).alias("rank")).where(F.col("rank") <= rows)
-    able = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    sample = able.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toLocalIterator()
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample), key=lambda r: (hash_order(r[0]), r[1]))
-    y = np.array([r[2] for r in got], float)
-    each = {k: totals[k] / max(np.count_nonzero(y == k), 1) for k in totals}
-    scale = len(y) / max(sum(totals.values()), 1)
-    return fit([r[1] for r in got], y, np.array([each[int(k)] for k in y]) * scale)
+    low = lambda y: known.where((F.col("toxic") == y) & ((F.col("mark") / F.lit(2.0**64) + 0.5) <= 4 * rows / max(totals.get(y, 0), 1)))
+    ids = low(0).orderBy("mark", "doc_id").limit(rows).unionByName(low(1).orderBy("mark", "doc_id").limit(rows))
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= LONG))
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "mark", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(one, "toxicity-sample"), totals
 
 
-def hash_order(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
+    """Fit on the sample, of each label no more texts once they have so many characters. Weights give the sample the shares of
+    all labelled rows."""
+    sample, totals = training_rows(docs, labels, rows, folds, held_out)
+    texts, toxic, left = [], [], {0: chars, 1: chars}
+    for r in sample.orderBy("mark", "doc_id").toLocalIterator():
+        if left[r["toxic"]] > 0:
+            texts.append(r["text"]), toxic.append(r["toxic"])
+            left[r["toxic"]] -= len(r["text"])
+    y = np.array(toxic, float)
+    each = {k: totals[k] / max(np.count_nonzero(y == k), 1) for k in totals}
+    scale = len(y) / max(sum(totals.values()), 1)
+    return fit(texts, y, np.array([each[int(k)] for k in y]) * scale)
 
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:

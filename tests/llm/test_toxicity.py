@@ -79,3 +79,24 @@ def labels_text():
     from pyspark.sql import functions as F
 
     return F.lit("a column of the same name")
+
+
+def test_held_out_recall(spark):
+    """At the threshold, over the held-out fold of the largest table: toxic texts are caught, others left alone."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op9_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    caught, alarms = (np.mean([r["predicted"] for r in rows if r["toxic"] == k]) for k in (1, 0))
+    assert caught >= 0.9 and alarms <= 0.01
+
+
+def test_sample_is_bounded(spark):
+    """One text an id, so many ids and characters of a label, however often an id is repeated; ids may be strings."""
+    rows = [(f"id{i % 50}", f"text {i} you idiot" if i % 2 else f"calm text {i}") for i in range(3000)] + [("same", "one more copy")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    labels = spark.createDataFrame([(f"id{i}", i % 2) for i in range(50)] + [("same", 0)] * 3, "doc_id string, toxic int")
+    sample, totals = T.training_rows(docs, labels, rows=10)
+    got = sample.collect()
+    assert len(got) == 20 == len({r["doc_id"] for r in got}) and sum(totals.values()) <= 51
+    model = T.train(docs, labels, rows=10)
+    assert T.score(docs, model).count() == 6000
+    assert T.train(docs, labels, rows=10, chars=1).knots is not None
