@@ -1,43 +1,50 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. Each text's set of 5-word shingles becomes a signature. Texts with equal sets are one class, represented once.
-2. Every tree of the forest orders the classes by a permutation of signature values of its own. In the sorted order,
-   classes whose keys share a prefix stand together. The depth is adaptive per region: where few classes share a short
-   prefix, all of them are candidates of each other; a dense region needs a longer prefix; in one that is dense at that
-   depth too, each class is tied to its neighbours of longest common prefix, so that candidates grow with the classes and
-   not with their pairs.
-3. Candidates, those of small regions filtered by their signatures, form coarse clusters. Any two classes that share a
-   region at full depth in any tree are in one cluster; two with a similarity of 0.75 miss that with a chance of 2e-6.
-4. Inside clusters links are confirmed on full sets. A small cluster is one group, solved exactly. A large one is cut into
-   blocks: each block is solved, and the first against all others; then every class outside the largest component meets
-   every block. So no link between two components stays untested, without all pairs of the largest.
+2. Every tree of the forest orders the classes by signature values of its own. What stands together shares a prefix. The
+   depth is adaptive per region: two classes are candidates if those that share with them all that they share are few; so
+   in a sparse region two values are enough, and a dense one is gone into value by value until it is small or the key
+   ends. In dense regions each class is a candidate of its neighbours of longest common prefix on both sides, too.
+   Candidates are kept if sizes and signatures allow for a similarity of 0.75.
+3. Neighbours need not be the right ones where a region is dense because its texts share passages. So classes of dense
+   regions also meet by their rarest shingles: two sets with a similarity of 0.75 share one among the rarest quarter of
+   each. Shingles of few classes give pairs, filtered as above; those of many tie their classes together.
+4. Candidates form coarse clusters. Two classes with a similarity of 0.75 share a region of three values in some tree but
+   for a chance of 2e-6; if that region is small, they are a pair, if it is dense, they meet in step 3.
+5. Inside clusters links are confirmed on full sets. A small cluster is one group, solved exactly. A large one is cut into
+   blocks: each block is solved, and the first against all others; then a class outside the largest component meets the
+   blocks that have one of its rarest shingles. So no link between two components stays untested.
 
 A null text or one without words has an empty set: it is linked with nothing and kept. Repeated rows and equal texts are
-one class. Null doc_ids are labelled after all others. Columns besides doc_id and text pass through untouched.
+one class. doc_ids may have any type that has an order; null ones are labelled after all others. Columns besides doc_id
+and text pass through untouched.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import column, few, joined_batches, keyed, materialize, small_batches, text_bytes
+from sedimenta.llm.common import column, discard, few, joined_batches, keyed, materialize, small_batches, text_bytes
 from sedimenta.llm.components import Union, components
 from sedimenta.llm.shingles import shingle_sets, signatures
 
 SHINGLE = 5
 PERCENT = 75
-TREES, DEEP, SHALLOW = 24, 3, 2
+TREES = 24
 VALUES = 4 * TREES
 
-#: Classes in a region up to which all of them are candidates of each other.
-SMALL = 16
+#: Signature values of a tree's key, the least that candidates share, and those that two classes of 0.75 share in some tree.
+DEPTH, SHALLOW, SURE = 6, 2, 3
+
+#: Classes in a region up to which all of them are candidates of each other, and neighbours on each side in a dense one.
+SMALL, NEAR = 16, 2
 
 #: Equal signature values that a pair in a small region needs. Of 96 at a similarity of 0.75 fewer agree once in 1e8.
 AGREE = 46
@@ -63,94 +70,147 @@ def set_table(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "key", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, key binary, sig binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every tree the first six values of its order, two to a number."""
+    """For every tree the key of each class: the first DEPTH values of the tree's order, two to a number."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.int64)
         node = column(batch, "node")
         for t in range(TREES):
-            v = sig[:, [(4 * t + k) % VALUES for k in range(6)]]
+            v = sig[:, [(4 * t + k) % VALUES for k in range(DEPTH)]]
             pairs = (v[:, ::2] - (1 << 31)) << 32 | v[:, 1::2]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), *(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(3)), node], ["tree", "k1", "k2", "k3", "node"])
 
 
-CHAIN, PAIR, EDGE_ROW = 0, 1, 2
-
-
-def _pairs(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(len(nodes), 1)
-    return nodes[i], nodes[j]
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows of a range of the sorted orders. Regions at the ends of the range may go on in the next one: their
-    classes are tied without a filter, and the first and last row are given out to tie ranges together."""
-
-    def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None) -> pa.RecordBatch:
-        zero = np.zeros(len(a), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(zero if c is None else c), pa.array(zero if d is None else d)], ["kind", "a", "b", "c", "d"])
-
-    head: int | None = None  # of a region that goes on over a batch's end; what was cut off is tied to it
-    last: tuple | None = None
-    first_row = True
-    for batch in joined_batches(batches):
-        tree, k1, k2, node = (np.asarray(column(batch, x)).astype(np.int64) for x in ("tree", "k1", "k2", "node"))
-        third = k2 >> 32
-        short = np.append(True, (tree[1:] != tree[:-1]) | (k1[1:] != k1[:-1]))
-        deep = short | np.append(True, third[1:] != third[:-1])
-        if first_row:
-            yield out(EDGE_ROW, tree[:1], k1[:1], third[:1], node[:1])
-            first_row = False
-        elif last == (tree[0], k1[0], third[0]):
-            yield out(CHAIN, node[:1], np.array([head]))
-        starts = np.flatnonzero(deep)
-        ends = np.append(starts[1:], len(node))
-        near_end = (starts == 0) | (ends == len(node))
-        size = ends - starts
-        chains, pairs = [], []
-        for s, e in zip(starts[(size > 1) & ((size > SMALL) | near_end)].tolist(), ends[(size > 1) & ((size > SMALL) | near_end)].tolist(), strict=True):
-            chains.append((node[s + 1 : e], np.full(e - s - 1, node[s])))
-        inner = (size > 1) & (size <= SMALL) & ~near_end
-        pairs += [_pairs(node[s:e]) for s, e in zip(starts[inner].tolist(), ends[inner].tolist(), strict=True)]
-        s2 = np.flatnonzero(short)
-        e2 = np.append(s2[1:], len(node))
-        few = (e2 - s2 > 1) & (e2 - s2 <= SMALL)
-        pairs += [_pairs(node[s:e]) for s, e in zip(s2[few].tolist(), e2[few].tolist(), strict=True)]
-        if chains:
-            yield out(CHAIN, *(np.concatenate(x) for x in zip(*chains, strict=True)))
-        if pairs:
-            yield out(PAIR, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
-        if not (last == (tree[0], k1[0], third[0]) and starts[-1] == 0):
-            head = int(node[starts[-1]])
-        last = (int(tree[-1]), int(k1[-1]), int(third[-1]))
-    if last is not None:
-        yield out(EDGE_ROW, *(np.array([x]) for x in (*last, head)))
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes (node, sig) whose coarse clusters hold all that can be linked."""
-    spark = classes.sparkSession
+PAIR, DENSE, EDGE_ROW = 0, 1, 2
+FOREST = "kind int, a bigint, b bigint, c bigint, d bigint, e bigint"
+
+
+def _forest_rows(kind: int, *values: np.ndarray) -> pa.RecordBatch:
+    zero = np.zeros(len(values[0]), np.int64)
+    columns = [*values, *[zero] * (5 - len(values))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(zero), kind, np.int32)), *(pa.array(np.ascontiguousarray(c, np.int64)) for c in columns)], ["kind", *"abcde"])
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Values that each sorted row (tree, k1, k2, k3) has in common with the one before; -1 where there is none of its tree."""
+    same, out = rows[1:] == rows[:-1], np.full(len(rows), -1, np.int64)
+    n = np.zeros(len(rows) - 1, np.int64)
+    on = same[:, 0].copy()
+    for k in range(1, DEPTH // 2 + 1):
+        half = (rows[1:, k] >> 32) == (rows[:-1, k] >> 32)
+        n += (on & half).astype(np.int64) + (on & same[:, k])
+        on &= same[:, k]
+    out[1:] = np.where(same[:, 0], n, -1)
+    return out
+
+
+def near_rows(rows: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j: places of candidates among sorted rows, j not before fresh; and the places of rows in dense regions. Two rows are
+    candidates if the region of what they share is small, or if they are neighbours of longest common prefix."""
+    lcp, n = _common(rows), len(rows)
+    sizes = np.zeros((DEPTH + 1, n), np.int64)
+    for d in range(SHALLOW, DEPTH + 1):
+        starts = np.flatnonzero(lcp < d)
+        sizes[d] = np.repeat(np.diff(np.append(starts, n)), np.diff(np.append(starts, n)))
+    shared, found = np.full(n, DEPTH), []
+    for step in range(1, min(SMALL, n)):
+        i = np.arange(n - step)
+        shared = np.minimum(shared[: n - step], lcp[step:])  # of i and i + step: the least in between
+        able = shared >= SHALLOW
+        small = sizes[np.maximum(shared, SHALLOW), i] <= SMALL
+        if step <= NEAR:
+            small |= shared >= SURE
+        i = i[able & small & (i + step >= fresh)]
+        found.append((i, i + step))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return i, j, np.flatnonzero(sizes[SURE] > SMALL)
+
+
+def _regions(ends: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates and classes of dense regions, from a range of the sorted orders. The last SMALL rows of a batch go into the
+    next one, too: a region that goes on shows its size there. With ends, the first and last SMALL rows are given out, so that
+    regions over the ends of ranges are found among those of all ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in joined_batches(batches):
+            new = np.stack([np.asarray(column(batch, x)).astype(np.int64) for x in ("tree", "k1", "k2", "k3", "node")], 1)
+            if held is None and ends:
+                yield _forest_rows(EDGE_ROW, *new[:SMALL].T)
+            fresh = 0 if held is None else len(held)
+            rows = new if held is None else np.concatenate([held, new])
+            i, j, dense = near_rows(rows[:, :4], fresh)
+            if len(i):
+                pairs = np.unique(np.stack([np.maximum(rows[i, 4], rows[j, 4]), np.minimum(rows[i, 4], rows[j, 4])], 1), axis=0)
+                yield _forest_rows(PAIR, *pairs.T)
+            if len(dense):
+                yield _forest_rows(DENSE, np.unique(rows[dense, 4]))
+            held = rows[-SMALL:]
+        if held is not None and ends:
+            yield _forest_rows(EDGE_ROW, *held.T)
+
+    return run
+
+
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), a > b, of classes (node, sig), before any filter; and the classes (node) of dense regions."""
+    order = ["tree", "k1", "k2", "k3", "node"]
     keyed = classes.select("node", "sig").mapInArrow(_keys, "tree int, k1 bigint, k2 bigint, k3 bigint, node bigint")
-    ordered = keyed.repartitionByRange("tree", "k1", "k2", "k3", "node").sortWithinPartitions("tree", "k1", "k2", "k3", "node")
-    found = materialize(ordered.mapInArrow(_regions, "kind int, a bigint, b bigint, c bigint, d bigint"), "forest")
-    # Two rows for each range of the order, however many classes there are.
-    ends: dict[tuple, list[int]] = {}
-    for r in found.where(F.col("kind") == EDGE_ROW).collect():
-        ends.setdefault((r["a"], r["b"], r["c"]), []).append(r["d"])
-    ties = [(x, nodes[0]) for nodes in ends.values() for x in nodes[1:] if x != nodes[0]]
-    tied = spark.createDataFrame(ties, "a bigint, b bigint")
-    pairs = found.where(F.col("kind") == PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialize(ordered.mapInArrow(_regions(True), FOREST), "forest")
+    # A few rows for each range of the orders, however many classes there are.
+    ends = found.where(F.col("kind") == EDGE_ROW).selectExpr("cast(a as int) as tree", "b as k1", "c as k2", "d as k3", "e as node").distinct()
+    over = materialize(ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_regions(False), FOREST), "forest-ends")
+    every = found.unionByName(over)
+    pairs = every.where((F.col("kind") == PAIR) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    dense = materialize(every.where(F.col("kind") == DENSE).select(F.col("a").alias("node")).distinct(), "dense")
+    return pairs, dense
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """node, shingle, often: of each set (node, shingles) as many of its rarest shingles as make sure that two sets with a
+    similarity of PERCENT share one. Rare is what few of these sets have; often marks what more than SMALL have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "shingles"):
+            each = [np.frombuffer(x, np.int64) for x in column(batch, "shingles").to_pylist()]
+            sizes = [len(x) for x in each]
+            nodes = np.repeat(np.asarray(column(batch, "node")), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], ["node", "n", "shingle"])
+
+    every = materialize(sets.select("node", "shingles").mapInArrow(run, "node bigint, n bigint, shingle bigint"), "shingles")
+    often = materialize(every.groupBy("shingle").agg(F.count("*").alias("times")).where(F.col("times") > SMALL), "often")
+    told = every.join(F.broadcast(often) if few(often) else often, "shingle", "left")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(0)), "shingle"))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    out = materialize(told.withColumn("rank", rank).where(F.col("rank") <= prefix).select("node", "shingle", F.col("times").isNotNull().alias("often")), "rare")
+    discard(every)
+    return out
+
+
+def candidates(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes (node, label, n_shingles, key, sig) whose coarse clusters hold all that can be linked."""
+    pairs, dense = forest(classes)
     sketch = classes.select("node", "n_shingles", "sig").mapInArrow(_sketch, "node bigint, n bigint, sketch binary")
     sketch = materialize(sketch, "sketches")
+    ties = None
+    if dense.take(1):
+        zero = F.lit(0).cast("bigint")
+        members = classes.join(F.broadcast(dense) if few(dense) else dense, "node", "left_semi").select(zero.alias("cluster"), zero.alias("block"), "node", "label", "key")
+        rare = rare_shingles(_sets_of(members, docs))
+        one, two = (rare.where("not often").select("shingle", F.col("node").alias(x)) for x in "ab")
+        pairs = pairs.unionByName(one.join(two, "shingle").where("a > b").select("a", "b")).distinct()
+        heads = rare.where("often").groupBy("shingle").agg(F.min("node").alias("b"))
+        ties = rare.where("often").join(F.broadcast(heads) if few(heads) else heads, "shingle").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     one, two = (sketch.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     able = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     alike = pairs.join(one, "a").join(two, "b").where(able).select("a", "b", "s_a", "s_b").mapInArrow(_alike, "a bigint, b bigint")
-    return found.where(F.col("kind") == CHAIN).select("a", "b").unionByName(tied).unionByName(alike)
+    return alike if ties is None else alike.unionByName(ties)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +286,7 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
             right = [hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, column(batch, "key").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "cluster"), column(batch, "block"), column(batch, "node"), pa.array((s.tobytes() for s in sets), pa.binary())], ["cluster", "block", "node", "shingles"]).filter(pa.array(right))
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = docs.select("doc_id", "text")
     labels = members.select(F.col("label").alias("wanted")).distinct()
     if few(labels):  # then only texts that are wanted go through the shuffle
         texts = texts.join(F.broadcast(labels), texts.doc_id.eqNullSafe(labels.wanted), "left_semi")
@@ -236,7 +296,7 @@ def _sets_of(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed edges (a, b) between classes (node, label, n_shingles, key, sig) that connect all linked ones."""
-    coarse = materialize(components(candidates(classes)).withColumnRenamed("component", "cluster"), "coarse")
+    coarse = materialize(components(candidates(classes, docs)).withColumnRenamed("component", "cluster"), "coarse")
     tasks = _tasks(coarse, 100_000)
     sized = materialize(coarse.join(classes.select("node", "label", "n_shingles", "key"), "node").coalesce(tasks), "members")
     totals = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
@@ -264,7 +324,13 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     parts = materialize(parts.coalesce(tasks), "parts")
     most = parts.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("part"))
     minor = in_large.join(parts.join(most, ["cluster", "part"], "left_anti").select("node").distinct(), "node")
-    last = _solved(targets.unionByName(spread(minor)), "links-minor")
+    # They meet the blocks that have one of their rarest shingles.
+    rare = rare_shingles(in_large).join(in_large.select("cluster", "block", "node"), "node")
+    there = rare.select("cluster", "block", "shingle").distinct()
+    wanted = rare.join(minor.select("node"), "node", "left_semi").select("cluster", "shingle", "node")
+    met = materialize(wanted.join(there, ["cluster", "shingle"]).select("cluster", "block", "node").distinct(), "met")
+    probes = minor.select("node", "shingles").join(met, "node").select("cluster", "block", "node", "shingles", F.lit(1).alias("probe"))
+    last = _solved(targets.unionByName(probes), "links-minor")
     return so_far.unionByName(last)
 
 

@@ -90,3 +90,89 @@ def test_components(spark):
     for per_task in (1 << 20, 60):
         assert {r["node"]: r["component"] for r in components(df, edges_per_task=per_task).collect()} == {x: u.find(x) for x in nodes}
     assert components(df.where("false")).count() == 0
+
+
+def linked_pairs(rows):
+    sets = {i: brute.shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                yield a, b
+
+
+def classes_of(spark, rows):
+    """classes as near_duplicates() makes them, of texts that all differ, each with its doc_id as its node."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return docs, M.set_table(docs).where("key is not null").select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"), "n_shingles", "key", "sig").cache()
+
+
+def shared_passage(n=70, seed=21):
+    """Texts of which half is one passage, so that regions are dense with texts that aren't linked, each with one near-copy."""
+    rng, rows = random.Random(seed), []
+    passage = words(80, seed).split()
+    for i in range(n):
+        own = words(80, 1000 + i).split()
+        w = passage + own
+        rows.append((2 * i, " ".join(w)))
+        for k in rng.sample(range(160), 4):
+            w[k] = f"e{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(w)))
+    return rows
+
+
+def test_recall_of_candidates(spark):
+    """Linked pairs against all pairs: sparse regions give them as pairs; where regions are dense, clusters hold all of them."""
+    rng, rows = random.Random(12), []
+    for i in range(150):
+        w = words(120, 500 + i).split()
+        for _ in range(4):
+            for k in rng.sample(range(120), 1):
+                w[k] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    for sparse, table in ((True, rows), (False, shared_passage()), (False, list({t: (i, t) for i, t in group()}.values()))):
+        docs, classes = classes_of(spark, table)
+        want = set(linked_pairs([(i, t) for i, t in table]))
+        pairs, dense = M.forest(classes)
+        found = {(r["b"], r["a"]) for r in pairs.collect()}
+        assert len(want) > 60
+        if sparse:
+            assert len(want & found) >= 0.99 * len(want) and len(found) < 3 * len(want) and dense.count() == 0
+        else:
+            assert dense.count() > M.SMALL
+        cluster = {r["node"]: r["component"] for r in components(M.candidates(classes, docs)).collect()}
+        assert all(cluster.get(a, a) == cluster.get(b, b) for a, b in want)
+
+
+def test_dense_regions_of_unlinked_texts(spark, monkeypatch):
+    """A passage that all share chains none of them; the near-copy of each is found among them."""
+    rows = shared_passage()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(M.near_duplicates(df).collect(), rows)
+    docs, classes = classes_of(spark, rows)
+    clusters = components(M.candidates(classes, docs)).groupBy("component").count()
+    assert clusters.agg({"count": "max"}).first()[0] < len(rows) / 4
+
+
+def test_region_sizes():
+    """Candidates of sorted rows against a plain reading of the rule, also where rows come in two parts."""
+    rng = np.random.default_rng(4)
+    keys = rng.choice([0, 1, 1, 1], (300, 7)).astype(np.int64)
+    keys[:, 0] = rng.integers(0, 2, 300)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    rows = np.stack([keys[:, 0], *(keys[:, k] << 32 | keys[:, k + 1] for k in (1, 3, 5))], 1)
+    i, j, dense = M.near_rows(rows, 0)
+    lcp = lambda a, b: -1 if keys[a, 0] != keys[b, 0] else next((k for k in range(6) if keys[a, k + 1] != keys[b, k + 1]), 6)
+    size = lambda a, d: sum(lcp(a, x) >= d for x in range(300))
+    want = {(a, b) for a in range(300) for b in range(a + 1, min(a + M.SMALL, 300)) if (m := lcp(a, b)) >= 2 and (size(a, m) <= M.SMALL or b - a <= M.NEAR and m >= M.SURE)}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    assert set(dense.tolist()) == {a for a in range(300) if size(a, M.SURE) > M.SMALL}
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", words(50, 1)), ("a", words(50, 1)), ("c", words(50, 2)), (None, None)]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {("b", "a", False), ("a", "a", True), ("c", "c", True), (None, None, True)}
