@@ -353,16 +353,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(df: DataFrame) -> DataFrame:
-    """A table of keys, to be broadcast if it surely takes at most BROADCAST_BYTES; else Spark joins by shuffle and splits
-    skewed partitions."""
+    """Numbers of rows whose texts are wanted, to be broadcast if they surely take at most BROADCAST_BYTES, so that other texts
+    aren't shuffled; else Spark joins by shuffle."""
     return F.broadcast(df) if few(df, BROADCAST_BYTES // KEY_BYTES) else df
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """row, lo, hi: runs of starts of windows that occur again, of docs (row, text)."""
+    """row, lo, hi: runs of starts of windows that occur again, of docs (row, text). Tables of anchors grow with the corpus:
+    they are joined by shuffle at every size, but where Spark knows one to be small."""
     every = materialize(anchor_table(docs, length), "anchors")
     often = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
-    again = materialize(every.join(_keys(often), "anchor", "left_semi"), "again")
+    again = materialize(every.join(often, "anchor", "left_semi"), "again")
     discard(every), discard(often)
     first = F.min(F.struct("row", "place", "lo", "hi")).alias("first")
     kinds = materialize(again.groupBy("anchor", "kind").agg(F.count("*").alias("times"), first), "kinds")
@@ -370,10 +371,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     per = materialize(per.select("anchor", "kinds"), "per-anchor")
     # Windows of contexts of which there are several.
     several = materialize(kinds.where("times > 1").select("anchor", "kind"), "several")
-    whole = materialize(again.join(_keys(several), ["anchor", "kind"], "left_semi").select("row", "lo", "hi"), "whole")
+    whole = materialize(again.join(several, ["anchor", "kind"], "left_semi").select("row", "lo", "hi"), "whole")
     discard(again), discard(several)
     # One of each kind where an anchor has several.
-    sent = materialize(kinds.join(_keys(per), "anchor").select("anchor", "kind", "kinds", "times", "first.*"), "sent")
+    sent = materialize(kinds.join(per, "anchor").select("anchor", "kind", "kinds", "times", "first.*"), "sent")
     discard(kinds), discard(per)
     size = sent.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0]
     if not size:
