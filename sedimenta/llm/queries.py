@@ -91,9 +91,15 @@ grp AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
 sp AS (SELECT doc_id, g, min(i) AS a, max(i) + 400 AS b FROM grp GROUP BY ALL),
 gap AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM sp),
 cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last FROM sp GROUP BY 1),
+s2 AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 500)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 249)) AS i FROM d WHERE n >= 250)),
+rep2 AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM s2) WHERE c > 1),
+isl2 AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 250 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS fresh FROM rep2),
+grp2 AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM isl2),
+told AS (SELECT doc_id, count(*) AS n_passages, CAST(sum(b - a) AS BIGINT) AS n_passage_bytes FROM (SELECT doc_id, g, min(i) AS a, max(i) + 250 AS b FROM grp2 GROUP BY ALL) GROUP BY 1),
 kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head FROM gap g JOIN d USING (doc_id) GROUP BY 1)
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
-FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256,
+coalesce(n_passages, 0) AS n_passages, coalesce(n_passage_bytes, 0) AS n_passage_bytes
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)"""
 
 OP5 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({_LOW}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
