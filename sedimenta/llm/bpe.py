@@ -1,10 +1,13 @@
 """Byte-level BPE by forced-boundary splitting.
 
-A cut between two bytes is certain where the pair occurs inside no token of the vocabulary: no merge can ever span it.
-The pre-tokenizer must agree too. It looks ahead at white space only, so this module cuts where in addition the right
-byte is white space of ASCII and the left character is none: there its pattern always ends a piece, and what follows is
-split alike with or without what stood before. The fragments, mostly a word with the space before it, are encoded
-independently, each distinct one once per bounded memo, and their ids are concatenated.
+A cut between two bytes is certain where the pair occurs inside no token of the vocabulary: no merge can ever span it. So
+inside the pieces that the pre-tokenizer gives, a text is cut at every such pair, and the fragments are merged
+independently, by the ranks alone, each distinct one once per bounded memo; their ids are concatenated.
+
+Texts come to the pre-tokenizer in stretches, mostly a word with the space before it, each distinct one once per bounded
+memo. They are cut where, besides, the right byte is white space of ASCII and the left character is none: the
+pre-tokenizer looks ahead at white space only, so there its pattern always ends a piece, and what follows is split alike
+with or without what stood before. Stretches with a special token go through the library whole.
 
 Null texts count as empty and give no ids. Ties, repeated rows and extra columns change nothing: each row is
 encoded by itself. Texts are encoded whole, however long.
@@ -20,15 +23,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import column, small_batches
 
-#: Distinct fragments that a worker remembers before it starts anew.
+#: Distinct stretches, and as many fragments, that a worker remembers before it starts anew.
 MEMO_FRAGMENTS = 250_000
 
-#: Longer fragments are encoded but not remembered.
+#: Longer ones are encoded but not remembered.
 MEMO_LENGTH = 64
 
 BLANK = "\t\n\v\f\r "
@@ -83,19 +87,26 @@ class ForcedBoundaryCodec:
             inside[a[:-1], a[1:]] = True
             self.token_bytes[i] = content.encode()
         self.inside = inside
+        self.byte_of = np.zeros(1 << 16, np.uint8)
+        self.byte_of[[ord(c) for c in alphabet]] = list(alphabet.values())
+        self.letter_of = {b: c for c, b in alphabet.items()}
         self.quick, self.slow = self._patterns()
-        self.special = re.compile("|".join(map(re.escape, added.values())) or "(?!)")
-        self.merges = self._merges(spec, {*added})
+        self.has_special = re.compile("|".join(map(re.escape, added.values())) or "(?!)").search
+        usual = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec.get("normalizer")
+        self.pattern = regex.compile(PIECES) if usual else None
         self.memo: dict[str, bytes] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.memo_fragments = memo_fragments
+        self.forced = 0  # cuts that were made inside pieces
 
     def certain_cuts(self) -> list[tuple[int, int]]:
-        """Byte pairs between which a cut changes no id: in no token, white space of ASCII on the right, none on the left."""
+        """Byte pairs at which a text may be cut before the pre-tokenizer: in no token, white space of ASCII on the right, none on
+        the left."""
         blank = BLANK.encode()
         return [(a, b) for b in blank for a in range(256) if a not in blank and not self.inside[a, b]]
 
     def _patterns(self) -> tuple[re.Pattern | None, re.Pattern]:
-        """What finds the fragments. The first is quick: it cuts before each run of blanks, and holds where a blank follows no
+        """What finds the stretches. The first is quick: it cuts before each run of blanks, and holds where a blank follows no
         whole character inside a token but white space beyond ASCII, and the text has none of that; the second tests each
         place by its bytes."""
         cuts = self.certain_cuts()
@@ -112,50 +123,84 @@ class ForcedBoundaryCodec:
                 parts.append(f"(?<=[{ascii_left}{chr(128) + '-' + chr(0x10FFFF) if wide else ''}])(?<!\\s)(?={re.escape(chr(right))})")
         return quick, re.compile("|".join(parts) or "(?!)")
 
-    def fragments(self, text: str) -> list[str]:
-        """The text cut at certain boundaries."""
+    def stretches(self, text: str) -> list[str]:
+        """The text cut where the pre-tokenizer always does and no token reaches over."""
         if self.quick is not None and (text.isascii() and not ODD_ASCII.search(text) or not ODD_BLANK.search(text)):
             return self.quick.findall(text)
         return self.slow.split(text) if text else []
 
-    def _merges(self, spec: dict, added: set[int]) -> Callable[[str], list[int]] | None:
-        """A faster encoder for short fragments of common letters, where ids rise in the order of the merges; else None."""
-        import tiktoken
-
-        merged = [i for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]) if (i := spec["model"]["vocab"].get(a + b)) is not None]
-        if merged != sorted(merged) or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec.get("normalizer"):
-            return None
-        ranks = {t: i for i, t in enumerate(self.token_bytes) if t and i not in added}
-        return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def _learn(self, missing: list[str], into: dict[str, bytes]) -> None:
-        rest = []
-        for text in missing:
-            if self.merges is not None and COMMON.fullmatch(text) and not self.special.search(text):
-                into[text] = array("I", self.merges(text)).tobytes()
-            else:
-                rest.append(text)
-        for text, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            into[text] = array("I", enc.ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, as the library gives for the whole text."""
-        step, memo = self.fragments(text), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, step))
-        except KeyError:
-            pass
-        missing = [x for x in dict.fromkeys(step) if x not in memo]
+    def split(self, texts: list[str]) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts, and where the pieces that the pre-tokenizer makes of each end."""
+        if self.pattern is not None and (row := "".join(texts)) and COMMON.fullmatch(row) and all(x[0] in BLANK and not x[-1].isspace() for x in texts):
+            # Stretches that begin with a blank and don't end with one stay apart in a row, so the pattern splits them at once.
+            ends = np.cumsum(np.fromiter(map(len, self.pattern.findall(row)), np.int64))
+            raw = row.encode()
+            if len(raw) > len(row):
+                firsts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                ends = np.append(firsts, len(raw))[ends]
+            return raw, ends
+        pieces = [p for x in texts for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(x)]
+        letters = np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)
+        return self.byte_of[letters].tobytes(), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def fragments(self, raw: bytes, ends: np.ndarray) -> np.ndarray:
+        """Where pieces that end there are to be cut: at their ends, and inside at every pair of bytes that is in no token."""
+        data = np.frombuffer(raw, np.uint8)
+        cut = np.append(~self.inside[data[:-1], data[1:]], False)
+        cut[ends - 1] = False
+        self.forced += int(np.count_nonzero(cut))
+        cut[ends - 1] = True
+        return np.flatnonzero(cut) + 1
+
+    def merge(self, fragment: bytes) -> bytes:
+        """The ids of a fragment, by the ranks of its merges alone."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(fragment.decode("latin-1").translate(self.letter_of))]).tobytes()
+
+    def _learn(self, missing: list[str]) -> None:
+        memo, merged = self.memo, self.merged
+        special = [x for x in missing if self.has_special(x)]
+        for text, enc in zip(special, self.tokenizer.encode_batch_fast(special, add_special_tokens=False) if special else [], strict=True):
+            memo[text] = array("I", enc.ids).tobytes()
+        plain = [x for x in missing if x not in memo]
+        row = [x for x in plain if x[0] in BLANK and not x[-1].isspace() and COMMON.fullmatch(x)]
+        in_row = {*row}
+        for texts in (row, [x for x in plain if x not in in_row]):
+            if not texts:
+                continue
+            raw, ends = self.split(texts)
+            at = self.fragments(raw, ends)
+            stops = at.tolist()
+            found = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+            if len(merged) > self.memo_fragments:
+                merged.clear()
+            for x in {*found} - merged.keys():
+                merged[x] = self.merge(x)
+            ids = list(map(merged.__getitem__, found))
+            for x in {x for x in found if len(x) > MEMO_LENGTH}:
+                del merged[x]
+            every, offsets = b"".join(ids), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            sizes = np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in texts), np.int64, len(texts))
+            to = offsets[np.searchsorted(at, np.cumsum(sizes))].tolist()
+            memo.update(zip(texts, (every[a:b] for a, b in zip([0, *to], to, strict=False)), strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers, as the library gives for the whole text."""
+        memo = self.memo
         if len(memo) > self.memo_fragments:
             memo.clear()
-            missing = list(dict.fromkeys(step))
-        self._learn(missing, memo)
-        out = b"".join(map(memo.__getitem__, step))
+        steps = [self.stretches(x) for x in texts]
+        missing = list({x for step in steps for x in step if x not in memo})
+        if missing:
+            self._learn(missing)
+        out = [b"".join(map(memo.__getitem__, step)) for step in steps]
         for x in missing:
             if len(x) > MEMO_LENGTH:
-                memo.pop(x, None)
+                del memo[x]
         return out
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_batch([text])[0]
+
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text that the library's decode() gives, special tokens kept."""
         table = self.token_bytes
@@ -176,7 +221,7 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in small_batches(batches):
-            ids = [c.encode(x or "") for x in column(batch, "text").to_pylist()]
+            ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays([column(batch, "row_key"), pa.array(ids, pa.binary())], ["row_key", "ids"])
 
     return run
@@ -212,7 +257,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFr
         c = codec(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in small_batches(batches):
-            ids = [c.encode(x or "") for x in column(batch, "text").to_pylist()]
+            ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(c.decode(x)) for x in ids), pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -31,7 +31,30 @@ def test_cuts_are_in_no_token():
     cuts = codec.certain_cuts()
     assert (ord("e"), ord(" ")) in cuts
     assert not any(bytes(c) in t for c in cuts[:200] for t in codec.token_bytes)
-    assert "".join(codec.fragments("x  y\nz  w ")) == "x  y\nz  w "
+    assert "".join(codec.stretches("x  y\nz  w ")) == "x  y\nz  w "
+
+
+def test_encoding_goes_through_forced_cuts(library, monkeypatch):
+    """No merged fragment has a pair of bytes inside that no token has, pieces with such pairs are cut there, and a codec that
+    takes every pair to be inside a token cuts none and gives the same ids."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzqqqxxxjjjéß日 本#$%&'0189 ", k=200)) for _ in range(200)]
+    texts += ["".join(rng.choices("bcdfghjklmnpqrstvwxzé!'# ", k=200)) for _ in range(50)]
+    codec, seen = bpe.ForcedBoundaryCodec(bpe.default_tokenizer_path()), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda x: (seen.append(x), merge(x))[1])
+    got = codec.encode_batch(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    inside = {t[i : i + 2] for t in codec.token_bytes for i in range(len(t) - 1)}
+    assert seen and all(x[i : i + 2] in inside for x in seen for i in range(len(x) - 1))
+    alphabet = bpe.byte_alphabet()
+    steps = list(dict.fromkeys(x for t in texts for x in codec.stretches(t)))
+    pieces = [bytes(alphabet[c] for c in p) for x in steps for p, _ in library.pre_tokenizer.pre_tokenize_str(x)]
+    pairs = sum(p[i : i + 2] not in inside for p in pieces for i in range(len(p) - 1))
+    assert codec.forced == pairs > 1000
+    none = bpe.ForcedBoundaryCodec(bpe.default_tokenizer_path())
+    none.inside[:] = True
+    assert none.encode_batch(texts) == got and none.forced == 0
 
 
 def test_messy_table(messy, library):
