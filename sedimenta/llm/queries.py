@@ -117,7 +117,7 @@ OP6 = rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(14 + length(replace({_ESCAPED.format('role')}, chr(10), '\n')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
+CAST(sum(16 + length(replace({_ESCAPED.format('role')}, chr(10), '\n')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:

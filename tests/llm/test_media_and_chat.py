@@ -80,23 +80,52 @@ def test_escapes():
 
 
 def test_masks_against_characters():
-    """A token is under the mask if a character of an assistant's text is in it."""
-    rng = random.Random(3)
-    for _ in range(300):
+    """A token is under the mask if its characters are of an assistant's text; one that reaches over an edge is refused."""
+    rng, refused = random.Random(3), 0
+    for _ in range(600):
         n = rng.randint(1, 40)
         cuts = sorted(rng.sample(range(n + 1), min(n + 1, rng.randint(2, 8))))
         spans = np.array(cuts[: len(cuts) // 2 * 2]).reshape(-1, 2)
-        ends = np.array(sorted({*rng.sample(range(1, n + 1), rng.randint(1, n)), n}))
+        ends = np.array(sorted({*rng.sample(range(1, n + 1), rng.randint(1, n)), n, *(cuts[1:] if rng.random() < 0.7 else [])} | ({*cuts} - {0})))
+        if rng.random() < 0.3 and len(ends) > 1:
+            ends = np.delete(ends, rng.randrange(len(ends) - 1))
         starts = np.append(0, ends[:-1])
         inside = np.zeros(n, bool)
         for a, b in spans:
             inside[a:b] = True
+        if any((a < x < b) for a, b in zip(starts, ends, strict=True) for x in spans.ravel()):
+            refused += 1
+            with pytest.raises(ValueError):
+                chat.loss_mask(starts, ends, spans)
+            continue
         mask = chat.loss_mask(starts, ends, spans)
         assert mask.tolist() == [bool(inside[a:b].any()) for a, b in zip(starts, ends, strict=True)]
         covered = np.zeros(n, bool)
-        for a, b in chat.masked_spans(starts, ends, mask, spans):
+        for a, b in chat.masked_spans(starts, ends, mask):
             covered[a:b] = True
         assert (covered == inside).all()
+    assert 30 < refused < 400
+
+
+@pytest.mark.parametrize("text", ["\n\nhello", "\n", "  x  ", "hi \n\n", "\x02", "\x03\x03", "!!", "'s", "7", "é", "😀", "\u3000", "<|endoftext|>", "</turn>", "#", "\\"])
+def test_the_mask_covers_the_text_alone(text):
+    """From mask and offsets, without the renderer's spans, come the texts and no character of the template."""
+    c = chat.checked_codec(chat.default_tokenizer_path())
+    formatted, spans = chat.render([("user", text), ("assistant", text), ("assistant", text), ("system", "x")])
+    enc = c.tokenizer.encode(formatted, add_special_tokens=False)
+    offsets = np.array(enc.offsets).reshape(-1, 2)
+    mask = chat.loss_mask(offsets[:, 0], offsets[:, 1], spans)
+    under = [formatted[a:b] for a, b in chat.masked_spans(offsets[:, 0], offsets[:, 1], mask).tolist()]
+    assert [chat.unescape(x) for x in under] == [text, text]
+
+
+def test_a_vocabulary_that_joins_marks_is_refused(monkeypatch):
+    c = chat.codec(chat.default_tokenizer_path())
+    inside = c.inside.copy()
+    inside[ord("!"), ord(chat.STOP)] = True
+    monkeypatch.setattr(c, "inside", inside)
+    with pytest.raises(ValueError):
+        chat.checked_codec(chat.default_tokenizer_path())
 
 
 ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", "  leading and trailing \n"), (1, 1, "assistant", "tie"), (1, 2, "assistant", None), (1, 3, None, "no role"), (None, 0, "assistant", "ü日本😀"), (2, None, "assistant", "null turn"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (-7, 0, "user", SAID), (-7, 1, "assistant", SAID), *((3, i, "assistant" if i % 2 else "user", f"turn {i} " * 50) for i in range(300))]
