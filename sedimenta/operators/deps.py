@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions import rules as R
+from sedimenta.functions import text as X
 from sedimenta.operators.merge import first_wins
-from sedimenta.operators.scan import file_lines
 
 #: Characters before a line and after it in which a detail is looked for.
 BEFORE, AFTER = 5, 200
@@ -18,10 +18,20 @@ def dependency_matches(files: DataFrame) -> DataFrame:
     are dropped before their lines are made, and the patterns that a file has are told once for all its lines."""
     has = F.array(*(F.col("content").rlike(p) for _, _, _, p, _ in R.INTEGRATIONS))
     some = files.select("path", "content", has.alias("has")).where(F.exists("has", lambda x: x))
-    lined = file_lines(some.withColumn("source", F.regexp_replace("content", "\r\n?", "\n")), 0)
-    # The place of a line in its text: what the lines before it take up.
-    rows = lined.withColumn("at", F.length(F.call_function("substring_index", F.col("source"), F.lit("\n"), F.col("line") - 1)) + F.when(F.col("line") > 1, 2).otherwise(1))
-    window = F.substr("source", F.greatest(F.col("at") - BEFORE, F.lit(1)), F.length("text") + F.least(F.col("at") - 1, F.lit(BEFORE)) + AFTER)
+    lined = some.withColumn("lines", X.lines(F.col("content"))).withColumn("tail", F.when(F.col("content").rlike("[\r\n]$"), "\n").otherwise(""))
+    # Lines that some pattern is in, and then what stands around those, are taken inside the array of the file's lines.
+    any_ = "|".join(f"(?:{p})" for _, _, _, p, _ in R.INTEGRATIONS)
+    told = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("text"), (i + 1).alias("line"))), lambda s: s["text"].rlike(any_))
+    lines = F.col("lines")
+
+    def around(s):
+        """The line, BEFORE characters before it and AFTER behind it, which that many lines at the most take up."""
+        near = F.transform(F.slice(lines, F.greatest(s["line"] - BEFORE, F.lit(1)), F.least(s["line"] - 1, F.lit(BEFORE))), lambda x: F.concat(F.right(x, F.lit(BEFORE)), F.lit("\n")))
+        behind = F.transform(F.slice(lines, s["line"] + 1, F.lit(AFTER)), lambda x: F.concat(F.lit("\n"), F.left(x, F.lit(AFTER))))
+        return F.concat(F.right(F.array_join(near, ""), F.lit(BEFORE)), s["text"], F.left(F.concat(F.array_join(behind, ""), F.col("tail")), F.lit(AFTER)))
+
+    hits = lined.withColumn("told", told).select("path", "has", F.explode(F.transform("told", lambda s: F.struct(s["text"].alias("text"), s["line"].alias("line"), around(s).alias("window")))).alias("l"))
+    rows = hits.select("path", "has", "l.*")
 
     def match(k: int, rule: tuple):
         kind, sub_type, direction, pattern, detail = rule
@@ -29,8 +39,8 @@ def dependency_matches(files: DataFrame) -> DataFrame:
         fields = F.struct(F.lit(kind).alias("kind"), F.lit(sub_type).alias("sub_type"), F.lit(direction).alias("direction"), value.alias("detail"), F.lit(k).alias("rule_ord"))
         return F.when(F.get("has", F.lit(k)) & F.col("text").rlike(pattern), fields)
 
-    hits = F.array_compact(F.array(*(match(k, r) for k, r in enumerate(R.INTEGRATIONS))))
-    return rows.withColumn("window", window).select("path", "line", F.explode(hits).alias("d")).select("path", "line", "d.*")
+    found = F.array_compact(F.array(*(match(k, r) for k, r in enumerate(R.INTEGRATIONS))))
+    return rows.select("path", "line", F.explode(found).alias("d")).select("path", "line", "d.*")
 
 
 def unique_dependencies(matches: DataFrame) -> DataFrame:
@@ -68,7 +78,8 @@ def consumer_flows(files: DataFrame) -> DataFrame:
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.java$", "")
     def of(kind: str, pattern: str, k: int):
         topics = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
-        behind = F.slice(F.split("content", pattern), 2, 1_000_000)
+        parts = F.split("content", pattern)
+        behind = F.slice(parts, F.lit(2), F.size(parts))
         return F.transform(F.arrays_zip(topics.alias("topic"), behind.alias("behind")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("kind_ord"), x["topic"].alias("topic"), x["behind"].alias("behind")))
 
     every = F.flatten(F.array(*(of(kind, p, k) for k, (kind, p) in enumerate(R.CONSUMERS))))

@@ -22,7 +22,8 @@ def calls(files: DataFrame) -> DataFrame:
     """class_name, method, pos, object, called: calls in each method's body, which ends where the next method begins. Of equal
     class and method names the last is kept."""
     heads = F.regexp_extract_all("content", F.lit(R.METHOD), F.lit(1))
-    bodies = F.slice(F.split("content", R.METHOD), 2, 1_000_000)
+    parts = F.split("content", R.METHOD)
+    bodies = F.slice(parts, F.lit(2), F.size(parts))
     pairs = F.arrays_zip(heads.alias("method"), bodies.alias("body"))
     rows = files.select(F.regexp_extract("content", R.TYPE_NAME, 1).alias("class_name"), "path", F.posexplode(pairs).alias("ord", "m")).where("class_name <> ''")
     rows = rows.select("class_name", F.col("m.method").alias("method"), F.col("m.body").alias("body"), F.struct("path", "ord").alias("o"))

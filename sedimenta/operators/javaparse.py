@@ -55,7 +55,12 @@ def tokens(source: str) -> list[Token]:
 
 def string_literals(source: str) -> list[tuple[int, str]]:
     """Line, from 1, and text in quotes of each string literal."""
-    return [(source.count("\n", 0, t.start) + 1, t.text) for t in tokens(source) if t.kind == "string"]
+    out, line, at = [], 1, 0
+    for t in tokens(source):
+        if t.kind == "string":
+            line, at = line + source.count("\n", at, t.start), t.start
+            out.append((line, t.text))
+    return out
 
 
 @dataclass

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sedimenta.functions import text as X
 
@@ -51,7 +52,8 @@ def class_digests(classes: DataFrame) -> DataFrame:
 
 def pack_bins(tokens: Column, budget: int) -> Column:
     """Number of the bin of each item of an array of tokens, from 0: the next bin starts where an item would overfill one that
-    isn't empty; an item over the budget weighs as much as the budget."""
+    isn't empty; an item over the budget weighs as much as the budget. The fold copies what it has at each step: it is for
+    short arrays, item_bins() for tables."""
     weight = lambda t: F.least(t, F.lit(budget))
     start = F.struct(F.lit(0).alias("bin"), F.lit(0).alias("held"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("bins"))
 
@@ -63,6 +65,30 @@ def pack_bins(tokens: Column, budget: int) -> Column:
     return F.aggregate(tokens, start, step, lambda s: s["bins"])
 
 
+def item_bins(items: DataFrame, budget: int, order: list[str]) -> DataFrame:
+    """items (module, order columns, tokens) with chunk, the number of their bin, as pack_bins() tells it. A module's items
+    stream sorted through one task, whose memory is that of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        module, chunk, held, n, first = None, 0, 0, 0, True
+        for batch in batches:
+            bins = []
+            for m, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if first or m != module:
+                    module, chunk, held, n, first = m, 0, 0, 0, False
+                t = min(t or 0, budget)
+                if n and held + t > budget:
+                    chunk, held, n = chunk + 1, 0, 0
+                held, n = held + t, n + 1
+                bins.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "chunk"])
+
+    names = ["module", "tokens", *(c for c in items.columns if c not in ("module", "tokens"))]
+    ordered = items.repartition("module").sortWithinPartitions("module", *order).select(names)
+    schema = StructType([*ordered.schema.fields, StructField("chunk", IntegerType())])
+    return ordered.mapInArrow(run, schema)
+
+
 CHUNK = "module string, chunk int, items bigint, tokens bigint, text string"
 
 

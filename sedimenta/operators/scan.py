@@ -14,10 +14,13 @@ SNIPPET = 120
 def file_lines(files: DataFrame, ahead: int = 2) -> DataFrame:
     """files without content, with line from 1, text, and block: the line and so many after it, joined by spaces.
 
-    The lines ahead come from the array of the file's lines, so no window or shuffle is needed."""
-    every = X.lines(F.col("content"))
-    rows = files.withColumn("__lines", every).select(*(c for c in files.columns if c != "content"), "__lines", F.posexplode("__lines").alias("__pos", "text"))
-    return rows.select("*", (F.col("__pos") + 1).alias("line"), F.array_join(F.slice("__lines", F.col("__pos") + 1, F.lit(ahead + 1)), " ").alias("block")).drop("__lines", "__pos")
+    Lines and blocks are made inside the array of the file's lines, and only they leave it: the work grows with the lines, and
+    no window or shuffle is needed."""
+    own = [c for c in files.columns if c != "content"]
+    every = F.col("__lines")
+    block = lambda x, i: F.array_join(F.slice(every, i + 1, F.lit(ahead + 1)), " ") if ahead else x
+    rows = F.transform(every, lambda x, i: F.struct(x.alias("text"), (i + 1).alias("line"), block(x, i).alias("block")))
+    return files.withColumn("__lines", X.lines(F.col("content"))).select(*own, F.explode(rows).alias("__row")).select(*own, "__row.*")
 
 
 def _hit(rule: R.LineRule) -> Column:
@@ -50,7 +53,7 @@ def _finding(rule: R.LineRule, order: int) -> Column:
 
 def line_findings(files: DataFrame, rules: tuple[R.LineRule, ...] = R.LINE_RULES) -> DataFrame:
     """A row for each line and rule it meets. Files that no rule's pattern is in are dropped before their lines are made."""
-    some = F.col("content").rlike("|".join(f"(?:{r.pattern})" if not r.pattern.startswith("(?i)") else f"(?i:{r.pattern[4:]})" for r in rules))
+    some = F.col("content").rlike(_joined([r.pattern for r in rules]))
     hits = F.array_compact(F.array(*(F.when(_hit(r), _finding(r, k)) for k, r in enumerate(rules))))
     found = file_lines(files.where(some)).withColumn("f", F.explode(hits))
     return found.select("path", "line", F.left(F.trim("text"), F.lit(SNIPPET)).alias("snippet"), "f.*")
@@ -68,12 +71,30 @@ def secret_rule(*tested: Column) -> Column:
     return out
 
 
+def _joined(patterns: list[str]) -> str:
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
+
+
+#: What some secret rule meets; and the same without looking ahead, which what a line meets meets wherever the line stands.
+ANY_SECRET = _joined([r[3] for r in R.SECRETS])
+MAYBE_SECRET = _joined([r[3].replace(r"(?!.*\$\{)", "") for r in R.SECRETS])
+
+
+def secret_lines(files: DataFrame) -> DataFrame:
+    """Lines (columns of files, text, line) that meet a secret rule, with the first such rule, f. Files and lines that meet none
+    are dropped by one pattern each before the rules are told apart."""
+    lines = file_lines(files.where(F.col("content").rlike(MAYBE_SECRET)), 0).drop("block")
+    return lines.where(F.col("text").rlike(ANY_SECRET)).withColumn("f", secret_rule(F.col("text")))
+
+
 def secret_findings(files: DataFrame, literals: DataFrame) -> DataFrame:
     """A row for each string literal (path, line, value) that meets a secret rule by itself or by its line. Snippets carry the
     value redacted."""
-    lines = file_lines(files.select("path", "content"), 0).select("path", "line", F.trim("text").alias("context"))
+    some = files.select("path", "content").where(F.col("content").rlike(MAYBE_SECRET))
+    lines = file_lines(some, 0).select("path", "line", F.trim("text").alias("context"))
     value = F.regexp_replace("value", "^[\"']+|[\"']+$", "")
-    rows = literals.withColumn("plain", value).join(lines, ["path", "line"]).withColumn("f", secret_rule(F.col("context"), F.col("plain"))).where("f is not null")
+    rows = literals.withColumn("plain", value).join(lines, ["path", "line"])
+    rows = rows.where(F.col("context").rlike(ANY_SECRET) | F.col("plain").rlike(ANY_SECRET)).withColumn("f", secret_rule(F.col("context"), F.col("plain")))
     shown = F.when(F.col("plain") == "", F.col("context")).otherwise(F.replace("context", F.col("plain"), X.redact(F.col("plain"))))
     return rows.select("path", "line", F.left(shown, F.lit(SNIPPET)).alias("snippet"), "f.*", X.redact(F.col("plain")).alias("redacted"))
 

@@ -64,8 +64,8 @@ SECRET_FINDINGS = f"SELECT *, {SEVERITY_CASE} AS severity FROM (SELECT doc_id, l
 
 def document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first secret rule that each line of documents meets."""
-    lines = scan.file_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), 0)
-    return lines.withColumn("f", scan.secret_rule(F.col("text"))).where("f is not null").select("doc_id", "line", F.col("text").alias("t"), "f.*")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return scan.secret_lines(files).select("doc_id", "line", F.col("text").alias("t"), "f.*")
 
 
 @query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INT) AS loc FROM documents")
@@ -226,10 +226,8 @@ def chunk_pack_next_fit(spark, sf_dir):
 
 @query(f"{PACKED} SELECT module, CAST(chunk AS INT) AS chunk, CAST(half AS INT) AS half, count(*) AS items, min(doc_id) AS first FROM (SELECT module, chunk, doc_id, CASE WHEN n <= 1 OR r <= n // 2 THEN 0 ELSE 1 END AS half FROM (SELECT *, count(*) OVER (PARTITION BY module, chunk) AS n, row_number() OVER (PARTITION BY module, chunk ORDER BY doc_id) AS r FROM walk)) GROUP BY ALL")
 def chunk_split_half(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), "doc_id", X.estimate_tokens(F.col("text")).alias("t"))
-    listed = docs.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x"))
-    binned = listed.select("module", F.arrays_zip(F.col("x.doc_id").alias("doc_id"), packing.pack_bins(F.col("x.t"), 8000).alias("chunk")).alias("z"))
-    rows = binned.select("module", F.explode("z").alias("z")).select("module", "z.chunk", "z.doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), "doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = packing.item_bins(docs, 8000, ["doc_id"])
     return packing.split_items(rows, ["doc_id"]).groupBy("module", "chunk", "half").agg(F.count("*").alias("items"), F.min("doc_id").alias("first"))
 
 

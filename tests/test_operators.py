@@ -201,3 +201,51 @@ def test_json_round_trip(spark, tmp_path):
     S.append_table(df, str(tmp_path / "t"))
     S.append_table(df, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_windows_around_integrations(spark):
+    """A detail is looked for in the line, five characters before it and 200 behind it, wherever these stand."""
+    import random
+    import re
+
+    rng = random.Random(7)
+    parts = ["@Cacheable(", '"films")', "KafkaTemplate k;", 'send("a")', "", "x" * 90, "\r", "// é", "@FeignClient(\n name=\n'b')", "interface A extends JpaRepository", "\n", "   "]
+    rows = [(f"f{i}", rng.choice(["\n", "\r\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    want = set()
+    for path, content in rows:
+        source = re.sub("\r\n?", "\n", content)
+        at = 0
+        for n, line in enumerate(source.removesuffix("\n").split("\n"), 1):
+            window = source[max(at - 5, 0) : at + len(line) + 200]
+            for kind, sub, _, pattern, detail in R.INTEGRATIONS:
+                if re.search(pattern, line):
+                    found = re.search(detail, window) if detail else None
+                    want.add((path, n, kind, sub, found[1] if found else ""))
+            at += len(line) + 1
+    got = deps.dependency_matches(spark.createDataFrame(rows, "path string, content string"))
+    assert {(r["path"], r["line"], r["kind"], r["sub_type"], r["detail"]) for r in got.collect()} == want and len(want) > 100
+
+
+def test_a_long_file_takes_linear_time(spark):
+    """One file of 50,000 lines: each line's rules, window and block come from few lines, not from the whole file."""
+    import time
+
+    lines = [f'String s{i} = "x"; // TODO: {i} KafkaTemplate.send("t{i}")' for i in range(50_000)]
+    took = {}
+    for n in (12_500, 50_000):
+        df = spark.createDataFrame([("a", "\n".join(lines[:n]))], "path string, content string")
+        for f in (lambda d: scan.line_findings(d).agg(F.max("line")), lambda d: deps.dependency_matches(d).agg(F.max("line"))):
+            began = time.time()
+            assert f(df).first()[0] == n
+            took.setdefault(n, []).append(time.time() - began)
+    assert all(b < 8 * a + 3 for a, b in zip(took[12_500], took[50_000], strict=True))
+    assert javaparse.string_literals('a = "x";\n\nb = "y" + "z";') == [(1, '"x"'), (3, '"y"'), (3, '"z"')]
+
+
+def test_item_bins_are_those_of_the_fold(spark):
+    rows = [(f"m{i % 3}", i, i * 37 % 70) for i in range(120)]
+    got = packing.item_bins(spark.createDataFrame(rows, "module string, i int, tokens int").repartition(5), 60, ["i"]).collect()
+    for m in ("m0", "m1", "m2"):
+        tokens = [t for k, _, t in rows if k == m]
+        want = spark.range(1).select(packing.pack_bins(F.array(*map(F.lit, tokens)), 60).alias("b")).first()["b"]
+        assert [r["chunk"] for r in sorted(got, key=lambda r: r["i"]) if r["module"] == m] == want
