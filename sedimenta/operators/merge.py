@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as X
+from sedimenta.workers import stored
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -45,18 +46,19 @@ def cache_split(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def cached_map(chunks: DataFrame, cache: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """payload and status (cached or computed) of each chunk: extract() sees what the cache hasn't, and adds payload."""
+    """payload and status (cached or computed) of each chunk: extract() sees what the cache hasn't, once, and adds payload."""
     hits, misses = cache_split(chunks, cache)
-    return hits.withColumn("status", F.lit("cached")).unionByName(extract(misses).withColumn("status", F.lit("computed")))
+    return hits.withColumn("status", F.lit("cached")).unionByName(stored(extract(misses)).withColumn("status", F.lit("computed")))
 
 
 def retry_failed(items: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], fallback: Callable[[DataFrame], DataFrame], depth: int = 2) -> DataFrame:
     """Rows of attempt(items, level), which adds ok; failed ones are tried again up to depth times, what still fails gets
-    fallback. A fixed number of passes over what failed, no loop over rows."""
+    fallback. A fixed number of passes over what failed, no loop over rows. Each pass is stored, so attempt() sees a row once a
+    level, however often the result is read. lifecycle.map_chunks() is the same with splitting."""
     done, rest = None, items
     columns = items.columns
     for level in range(depth + 1):
-        tried = attempt(rest, level)
+        tried = stored(attempt(rest, level))
         good = tried.where("ok").drop("ok").withColumn("status", F.lit("computed"))
         done = good if done is None else done.unionByName(good)
         rest = tried.where("not ok").select(columns)

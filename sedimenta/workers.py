@@ -1,10 +1,12 @@
-"""Python workers find this package where the driver found it, if they have no other way to."""
+"""Python workers find this package where the driver found it, if they have no other way to; tables that are stored on the way."""
 
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -17,3 +19,16 @@ def reach(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the folder of spark.checkpoint.dir, which all executors share. Where that is unset, a single
+    machine gets a temporary folder, and a cluster an error."""
+    spark = reach(df.sparkSession)
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sedimenta-"))
+    return df.checkpoint()
