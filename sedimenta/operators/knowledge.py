@@ -10,7 +10,7 @@ from sedimenta.operators import javaparse, merge, metrics, packing, retrieval, s
 
 def analyse(files: DataFrame, insights: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """classes, methods, and both with summaries and descriptions, from files (path, content). Without insights they are told
-    from names. Parsed types are cached: every table below is made of them."""
+    from names. Parsed types are cached, as every table below is made of them; release() gives them back."""
     classes = javaparse.parse_files(files).cache()
     methods = javaparse.explode_methods(classes)
     about, notes = insights or merge.heuristic_insights(classes, methods)
@@ -18,18 +18,27 @@ def analyse(files: DataFrame, insights: tuple[DataFrame, DataFrame] | None = Non
     return {"classes": classes, "methods": methods, "merged": retrieval.described(told, merge.merge_methods(methods, notes)), "digests": packing.class_digests(classes)}
 
 
+def release(tables: dict[str, DataFrame]) -> None:
+    """Give back what analyse() cached, once nothing made of it is needed."""
+    tables["classes"].unpersist()
+
+
 def overview() -> dict[str, str]:
     """The overview that is given where no service was asked."""
     return {"purpose": "Told from names and annotations alone.", "functionality": "", "architecture": "", "technology_stack": "", "design_patterns": "", "noteworthy_aspects": ""}
 
 
-def document(tables: dict[str, DataFrame], metadata: dict[str, str] | None = None, budget: int = 8000) -> DataFrame:
+def document(tables: dict[str, DataFrame], metadata: dict[str, str] | None = None, budget: int = 8000, observations: DataFrame | None = None) -> DataFrame:
     """One row, knowledge: JSON with metadata, overview, statistics and modules. Lists are in order; a module's classes are by
-    name. The document is a report, of the size of a code base's outline."""
+    name, and it has the observations (module, ord, observation) about it; those about other modules are let be. The document
+    is a report, of the size of a code base's outline."""
     classes, methods, merged = tables["classes"], tables["methods"], tables["merged"]
     as_list = lambda df, *order: df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias("x"))
     one = F.struct("name", "class_ord", "qualified_name", "kind", "role", F.col("file_path").alias("file"), "annotations", "extends", "implements", "summary", "methods")
     by_module = merged.groupBy("module").agg(F.count("*").alias("class_count"), F.array_sort(F.collect_list(one)).alias("classes"))
+    if observations is not None:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "observation"))), lambda x: x["observation"])
+        by_module = by_module.join(observations.groupBy("module").agg(listed.alias("observations")), "module", "left")
     chunks = packing.pack(tables["digests"], budget, ["file_path", "class_ord"])
     info = F.create_map(*(F.lit(x) for p in (metadata or {}).items() for x in p)) if metadata else F.create_map().cast("map<string,string>")
     row = metrics.totals(classes).select(F.struct("*").alias("totals"))
@@ -48,14 +57,17 @@ def document(tables: dict[str, DataFrame], metadata: dict[str, str] | None = Non
     return row.select(F.to_json(F.struct(info.alias("metadata"), F.col("chunks").alias("token_strategy"), facets.alias("project_overview"), statistics.alias("statistics"), "modules")).alias("knowledge"))
 
 
-def nodes(tables: dict[str, DataFrame]) -> DataFrame:
-    """The nodes of an analysis, without observations."""
+def nodes(tables: dict[str, DataFrame], observations: DataFrame | None = None) -> DataFrame:
+    """The nodes of an analysis, with observations (module, ord, observation) about its modules."""
     classes, methods = tables["classes"], tables["methods"]
     spark = classes.sparkSession
     facets = spark.range(1).select(F.explode(F.create_map(*(F.lit(x) for p in overview().items() for x in p))).alias("facet", "text"))
     core = metrics.totals(classes).crossJoin(metrics.complexity_summary(methods))  # rows of one
-    none = spark.range(0).select(F.lit("").alias("module"), F.col("id").alias("ord"), F.lit("").alias("observation"))
-    return retrieval.load_nodes(facets, core, metrics.hotspots(methods), metrics.endpoints(methods), none, tables["merged"])
+    if observations is None:
+        seen = spark.range(0).select(F.lit("").alias("module"), F.col("id").alias("ord"), F.lit("").alias("observation"))
+    else:
+        seen = observations.select("module", "ord", "observation").join(tables["merged"].select("module").distinct(), "module", "left_semi")
+    return retrieval.load_nodes(facets, core, metrics.hotspots(methods), metrics.endpoints(methods), seen, tables["merged"])
 
 
 def findings(files: DataFrame, tables: dict[str, DataFrame], tests: DataFrame) -> DataFrame:

@@ -158,3 +158,8 @@ sealed class Thing permits Other {
 def files(spark: SparkSession) -> DataFrame:
     """All files of the corpus, by path: path, content."""
     return spark.createDataFrame(sorted(FILES.items()), "path string, content string").coalesce(2)
+
+
+def letters(texts: list[str]) -> list[list[float]]:
+    """A vector for each text: how often each letter is in it. It stands for a model of vectors."""
+    return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]

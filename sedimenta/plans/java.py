@@ -194,6 +194,14 @@ def consumer_flows(spark, sf_dir):
 
 @query(
     "name, digest",
+    "('Fine', 'FILE: src/main/java/com/acme/Broken.java' || chr(10) || 'CLASS: com.acme.Fine  [role=model]')",
+    "('Billing', 'FILE: src/main/java/com/acme/common/Clients.java' || chr(10) || 'INTERFACE: com.acme.common.Billing  [role=model]' || chr(10) || '  annotations: @FeignClient')",
+    "('Listener', 'FILE: src/main/java/com/acme/common/Clients.java' || chr(10) || 'CLASS: com.acme.common.Listener  [role=model]' || chr(10) || '  - public void onOrder(String message) (cc=1)')",
+    "('Size', 'FILE: src/main/java/com/acme/common/Clients.java' || chr(10) || 'ENUM: com.acme.common.Size  [role=model]' || chr(10) || '  injected deps: String' || chr(10) || '  - void Size(String code) (cc=1)' || chr(10) || '  - boolean big() (cc=2)')",
+    "('Point', 'FILE: src/main/java/com/acme/common/Clients.java' || chr(10) || 'RECORD: com.acme.common.Point  [role=record]')",
+    "('Thing', 'FILE: src/main/java/com/acme/common/Clients.java' || chr(10) || 'SEALED_CLASS: com.acme.common.Thing  [role=entity]' || chr(10) || '  annotations: @Entity')",
+    "('FilmController', 'FILE: src/main/java/com/acme/services/film/FilmController.java' || chr(10) || 'CLASS: com.acme.services.film.FilmController  [role=controller]' || chr(10) || '  annotations: @RestController, @RequestMapping' || chr(10) || '  base path: /films' || chr(10) || '  injected deps: FilmService, Logger' || chr(10) || '  javadoc: /** Films over HTTP. */' || chr(10) || '  - public void FilmController(FilmService filmService) (cc=1)' || chr(10) || '  - public Film getFilm(long id) [GET /{id}] (cc=3)' || chr(10) || '      doc: /** One film. */' || chr(10) || '  - public Film add(Film film, String... tags) [POST ] (cc=1)' || chr(10) || '  - public void remove(long id) [DELETE /{id}/] (cc=1)')",
+    "('FilmServiceImpl', 'FILE: src/main/java/com/acme/services/film/FilmServiceImpl.java' || chr(10) || 'CLASS: com.acme.services.film.FilmServiceImpl  [role=service]' || chr(10) || '  annotations: @Service' || chr(10) || '  implements: FilmService' || chr(10) || '  injected deps: Audit, FilmRepository' || chr(10) || '  - public Film find(long id) (cc=5)' || chr(10) || '  - public Film save(Film film) (cc=7)')",
     "('FilmRepository', 'FILE: src/main/java/com/acme/services/film/FilmRepository.java' || chr(10) || 'INTERFACE: com.acme.services.film.FilmRepository  [role=repository]')",
     "('FilmEntity', 'FILE: src/main/java/com/acme/services/film/FilmEntity.java' || chr(10) || 'CLASS: com.acme.services.film.FilmEntity  [role=entity]' || chr(10) || '  annotations: @Entity, @Table')",
     "('FilmService', 'FILE: src/main/java/com/acme/services/film/FilmService.java' || chr(10) || 'INTERFACE: com.acme.services.film.FilmService  [role=model]' || chr(10) || '  - Film find(long id) (cc=1)' || chr(10) || '  - Film save(Film film) (cc=1)')",
@@ -201,11 +209,18 @@ def consumer_flows(spark, sf_dir):
 def class_digests(spark, sf_dir):
     classes, _ = parsed(spark)
     cards = packing.class_digests(classes).join(classes.select("file_path", "class_ord", "name"), ["file_path", "class_ord"])
-    return cards.where(F.col("name").isin("FilmRepository", "FilmEntity", "FilmService")).select("name", "digest")
+    return cards.select("name", "digest")
 
 
 @query(
     "qualified_name, name, description",
+    "('com.acme.common.Listener', 'onOrder', 'Implements `onOrder` as declared: public void onOrder(String message).')",
+    "('com.acme.common.Size', 'Size', 'Implements `Size` as declared: void Size(String code).')",
+    "('com.acme.common.Size', 'big', 'Implements `big` as declared: boolean big().')",
+    "('com.acme.services.film.FilmService', 'find', 'Finds resource.')",
+    "('com.acme.services.film.FilmService', 'save', 'Implements `save` as declared: Film save(Film film).')",
+    "('com.acme.services.film.FilmServiceImpl', 'find', 'Finds resource.')",
+    "('com.acme.services.film.FilmServiceImpl', 'save', 'Implements `save` as declared: public Film save(Film film).')",
     "('com.acme.services.film.FilmController', 'FilmController', 'Implements `FilmController` as declared: public void FilmController(FilmService filmService).')",
     "('com.acme.services.film.FilmController', 'getFilm', 'Retrieves film.')",
     "('com.acme.services.film.FilmController', 'add', 'Creates resource.')",
@@ -214,7 +229,7 @@ def class_digests(spark, sf_dir):
 def heuristic_methods(spark, sf_dir):
     classes, methods = parsed(spark)
     _, notes = merge.heuristic_insights(classes, methods)
-    return notes.where("qualified_name like '%FilmController'").select("qualified_name", "name", "description")
+    return notes.select("qualified_name", "name", "description")
 
 
 @query()

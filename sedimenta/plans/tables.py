@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions import rules as R
@@ -115,17 +115,10 @@ def rule_counts_desc(spark, sf_dir):
     return scan.counts_desc(document_secrets(spark, sf_dir), "rule_id", "rule_ord")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s_suppkey BETWEEN 40 AND 49 AND (contains(CAST(c_custkey AS VARCHAR), CAST(s_suppkey AS VARCHAR)) OR contains(CAST(s_suppkey AS VARCHAR), CAST(c_custkey AS VARCHAR))))")
-def coverage_gap_anti(spark, sf_dir):
-    stems = table(spark, sf_dir, "supplier").where("s_suppkey between 40 and 49").select(F.col("s_suppkey").cast("string").alias("stem"))
-    names = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("low"))
-    return names.join(stems, F.contains("low", F.col("stem")) | F.contains("stem", F.col("low")), "left_anti").select("c_custkey")
-
-
 @query(
     "SELECT CAST(o_custkey AS VARCHAR) AS path, CAST(o_orderkey AS VARCHAR) AS snippet, CASE WHEN day(o_orderdate) < 10 THEN 'medium' ELSE 'high' END AS severity FROM orders JOIN customer c ON c_custkey = o_custkey WHERE day(o_orderdate) >= 5 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CAST(CAST(trunc(s_acctbal) AS BIGINT) AS VARCHAR) AS stem FROM supplier) s WHERE contains(CAST(c_custkey AS VARCHAR), stem) OR contains(stem, CAST(c_custkey AS VARCHAR)))"
 )
-def coverage_gaps_whole(spark, sf_dir):
+def coverage_gap_anti(spark, sf_dir):
     """Customers as classes, their orders as methods with the day as complexity, balances of suppliers as stems of tests."""
     key = lambda c: F.col(c).cast("string")
     classes = table(spark, sf_dir, "customer").select(key("c_custkey").alias("file_path"), F.lit(0).alias("class_ord"), key("c_custkey").alias("name"))
@@ -293,17 +286,10 @@ def _chain(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     return chain.groupBy("c_mktsegment", "p_brand", "n_name").agg(F.count("*").alias("n"))
 
 
-@query(
-    "SELECT c_mktsegment, p_brand, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linenumber = 1 GROUP BY ALL"
-)
-def call_chain_trace(spark, sf_dir):
-    return _chain(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
-
-
 @query(
     "SELECT c_mktsegment, p_brand, n_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL"
 )
-def call_chain_trace_whole(spark, sf_dir):
+def call_chain_trace(spark, sf_dir):
     return _chain(spark, sf_dir, table(spark, sf_dir, "lineitem"))
 
 
@@ -313,18 +299,10 @@ def _stem_lookup(part: DataFrame, tested: DataFrame) -> DataFrame:
     return rows.join(stems, "stem", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(
-    "SELECT p_partkey, coalesce(t.n, 0) AS n FROM part p LEFT JOIN (SELECT lower(replace(replace(p_brand || 'Repository', 'Repository', ''), 'Impl', '')) AS stem, count(*) AS n FROM part WHERE p_size < 10 GROUP BY 1) t ON t.stem = lower(replace(replace(replace(p_brand || 'CustomRepositoryImpl', 'Repository', ''), 'Impl', ''), 'Custom', ''))"
-)
-def stem_lookup_join(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return _stem_lookup(part, part.where("p_size < 10"))
-
-
 @query(
     "SELECT p_partkey, coalesce(t.n, 0) AS n FROM part p LEFT JOIN (SELECT lower(replace(replace(p_brand || 'Repository', 'Repository', ''), 'Impl', '')) AS stem, count(*) AS n FROM part GROUP BY 1) t ON t.stem = lower(replace(replace(replace(p_brand || 'CustomRepositoryImpl', 'Repository', ''), 'Impl', ''), 'Custom', ''))"
 )
-def stem_lookup_join_whole(spark, sf_dir):
+def stem_lookup_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return _stem_lookup(part, part)
 
@@ -335,14 +313,8 @@ def method_body_spans(spark, sf_dir):
     return merge.spans_to_next(rows, "event_id", ["user_id"], F.lit(1_000_000_000).cast("bigint"), "span_end")
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS doc FROM conversations")
-def javadoc_carry_forward(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.left("text", F.lit(20))).alias("c"))
-    return merge.carry_forward(rows, "c", ["conv_id"], ["turn"], "doc").drop("c")
-
-
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS doc FROM conversations")
-def javadoc_carry_forward_whole(spark, sf_dir):
+def javadoc_carry_forward(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("c"))
     return merge.carry_forward(rows, "c", ["conv_id"], ["turn"], "doc").drop("c")
 
@@ -400,41 +372,39 @@ def cosine_topk(spark, sf_dir):
     return retrieval.vector_top_k(rows, F.col("q")).select("id", F.round("score", 4).alias("score"))
 
 
-def _nodes(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+@query(f"SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_DOT.format('e.embedding', 'q.embedding')} / (sqrt({_DOT.format('e.embedding', 'e.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 4) AS score FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
+def cosine_topk_batch(spark, sf_dir):
+    """Every row whose id is divisible by 100 as a question, against all rows."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.vector_top_k_batch(e, asked, 5, places=4)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    docs = t("documents").select(F.concat(F.lit("class::"), "doc_id").alias("id"), text.alias("text"))
+    docs = t("documents").select(F.concat(F.lit("class::"), "doc_id").alias("id"), "text")
     sites = t("pages").select(F.concat(F.lit("module::"), "page_id").alias("id"), F.col("url").alias("text"))
     talks = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("text"))
     core = t("documents").agg(F.concat(F.lit("documents: "), F.count("*")).alias("text")).select(F.lit("stats::core").alias("id"), "text")
     return docs.unionByName(sites).unionByName(talks.select(F.concat(F.lit("endpoints::"), "conv_id").alias("id"), "text")).unionByName(core)
 
 
-@query("SELECT 'class::' || doc_id AS id, left(text, 50) AS text FROM documents UNION ALL SELECT 'module::' || page_id, url FROM pages UNION ALL SELECT 'endpoints::' || conv_id, string_agg(role, ',' ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'stats::core', 'documents: ' || count(*) FROM documents")
-def node_union(spark, sf_dir):
-    return _nodes(spark, sf_dir, F.left("text", F.lit(50)))
-
-
 @query("SELECT 'class::' || doc_id AS id, text FROM documents UNION ALL SELECT 'module::' || page_id, url FROM pages UNION ALL SELECT 'endpoints::' || conv_id, string_agg(role, ',' ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT 'stats::core', 'documents: ' || count(*) FROM documents")
-def node_union_whole(spark, sf_dir):
-    return _nodes(spark, sf_dir, F.col("text"))
+def node_union(spark, sf_dir):
+    return _nodes(spark, sf_dir)
 
 
-def _context(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
-    nodes = docs.select(F.col("doc_id").alias("id"), text.alias("text"), F.create_map(F.lit("type"), F.col("lang")).alias("metadata"))
+    nodes = docs.select(F.col("doc_id").alias("id"), "text", F.create_map(F.lit("type"), F.col("lang")).alias("metadata"))
     rank = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))  # five rows
     hits = docs.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"), rank.alias("rank"))
     return retrieval.extractive_answer(hits, nodes, "").select(F.substr("answer", F.lit(3)).alias("answer"))
 
 
-@query("SELECT string_agg('### Source ' || r || ' (score ' || printf('%.3f', n / 1000.0) || ', ' || lang || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS answer FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars AS n, lang, left(text, 100) AS t FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
-def context_format(spark, sf_dir):
-    return _context(spark, sf_dir, F.left("text", F.lit(100)))
-
-
 @query("SELECT string_agg('### Source ' || r || ' (score ' || printf('%.3f', n / 1000.0) || ', ' || lang || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY r) AS answer FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, n_chars AS n, lang, text AS t FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5)")
-def context_format_whole(spark, sf_dir):
-    return _context(spark, sf_dir, F.col("text"))
+def context_format(spark, sf_dir):
+    return _context(spark, sf_dir)
 
 
 @query("SELECT name, model FROM (VALUES ('', 'model-b'), ('model-a', 'model-a'), ('model-old', 'model-b'), ('model-a-20250514', 'model-a'), ('model-old-20240101', 'model-b'), ('other', 'other'), ('other-20250101', 'other-20250101')) t(name, model)")

@@ -55,10 +55,20 @@ def read_context(spark: SparkSession, root: str, names: tuple[str, ...] = CONTEX
     return raw.select(name.alias("name"), F.left(F.make_valid_utf8(F.col("content").cast("string")), F.lit(chars)).alias("text"), order.alias("ord"))
 
 
-def validate(spark: SparkSession, root: str) -> DataFrame:
-    """One row, ok and problem: a source tree has at least one file to read."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def validate(spark: SparkSession, root: str, cloned: bool = False) -> DataFrame:
+    """One row, ok, problem and files: a source tree is there, is a clone if it must be one, and has a file to read."""
+    told = lambda n, problem: spark.range(1).select(F.lit(problem is None).alias("ok"), F.lit(problem).cast("string").alias("problem"), F.lit(n).cast("bigint").alias("files"))
+    if not _exists(spark, root):
+        return told(0, "no such folder")
+    if cloned and not _exists(spark, f"{root.rstrip('/')}/.git"):
+        return told(0, "no clone: .git is missing")
     n = read_files(spark, root, include_tests=True).agg(F.count("*").alias("n"))
-    return n.select((F.col("n") > 0).alias("ok"), F.when(F.col("n") == 0, "no source files").alias("problem"))
+    return n.select((F.col("n") > 0).alias("ok"), F.when(F.col("n") == 0, "no source files").alias("problem"), F.col("n").alias("files"))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from sedimenta import cli
 from sedimenta.functions import text as X
 from sedimenta.operators import deps, javaparse, knowledge, metrics, report
 from sedimenta.plans import corpus
+from sedimenta.sources import files as S
 from sedimenta.sources import git
 
 
@@ -69,3 +70,50 @@ def test_command_line(spark, tmp_path):
     document = json.loads(spark.read.text(str(tmp_path / "out/knowledge")).first()[0])
     assert document["statistics"]["totals"]["methods"] == 4 and document["modules"][0]["module"] == "services.film"
     assert "### Source 1" in run("ask", "--knowledge", str(tmp_path / "out"), "-q", "who removes films", "--top-k", "2")
+
+
+def test_reports_settings_and_questions(spark, tmp_path):
+    """Every report is written, observations are in the document, questions are read one by one, vectors come from a function."""
+    import json
+
+    from sedimenta.plans import corpus
+
+    for path, content in corpus.FILES.items():
+        (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / path).write_text(content)
+    (tmp_path / "seen.json").write_text(json.dumps([{"module": "common", "ord": 2, "observation": "second"}, {"module": "common", "ord": 1, "observation": "first"}, {"module": "nowhere", "ord": 1, "observation": "lost"}]))
+    run = lambda *a, **k: cli.run(spark, cli.parser().parse_args(a), **k)
+    tree, out = str(tmp_path / "tree"), str(tmp_path / "out")
+    run("report", "--repo", tree, "--output", out)
+    severities = {r["severity"]: r["n"] for r in spark.read.json(f"{out}/security/summary").collect()}
+    assert severities["critical"] == 2 and spark.read.json(f"{out}/security/findings").count() == sum(severities.values())
+    assert {r["type"] for r in spark.read.json(f"{out}/dependencies/integrations").collect()} >= {"JpaRepository", "@Cacheable", "KafkaTemplate"}
+    assert spark.read.json(f"{out}/dependencies/tables").count() == 2 and spark.read.json(f"{out}/dependencies/clients").count() == 1
+    assert spark.read.json(f"{out}/flows/endpoints").count() == 3 and spark.read.json(f"{out}/flows/consumers").count() == 1
+    run("analyse", "--repo", tree, "--output", out, "--observations", str(tmp_path / "seen.json"))
+    modules = {m["module"]: m.get("observations") for m in json.loads(spark.read.text(f"{out}/knowledge").first()[0])["modules"]}
+    assert modules["common"] == ["first", "second"] and "nowhere" not in modules
+    nodes = {r["id"]: r["text"] for r in spark.read.parquet(f"{out}/nodes").collect()}
+    assert nodes["module::common"].endswith("- first\n- second") and "module::nowhere" not in nodes
+    said, asked = [], iter(["Which class handles films?", "listener of orders", ""])
+    assert run("ask", "--knowledge", out, "--top-k", "1", ask=lambda: next(asked), say=said.append) == "2 questions" and len(said) == 2
+    assert "Controller" in run("ask", "--knowledge", out, "-q", "Films over HTTP", "--mode", "vector", "--embed", "sedimenta.plans.corpus:letters")
+    events = spark.createDataFrame([("map", "m", 10, 5, False)], "call_type string, module string, input_tokens bigint, output_tokens bigint, cached boolean")
+    events.write.parquet(str(tmp_path / "events"))
+    run("telemetry", "--events", str(tmp_path / "events"), "--output", out)
+    assert spark.read.json(f"{out}/telemetry").count() == 1
+    assert not S.validate(spark, tree, cloned=True).first()["ok"] and S.validate(spark, tree).first()["files"] == 8
+    (tmp_path / "tree" / ".git").mkdir()
+    assert S.validate(spark, tree, cloned=True).first()["ok"]
+
+
+def test_questions_in_batches(spark):
+    from sedimenta.operators import retrieval
+
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    asked = nodes.where("id % 10 = 0").selectExpr("id as query_id", "embedding as vector")
+    got = retrieval.vector_top_k_batch(nodes, asked, 4)
+    for q in (0, 30):
+        one = [(r["id"], r["score"]) for r in retrieval.vector_top_k(nodes, rows[q][1], 4).collect()]
+        assert [(r["id"], r["score"]) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == one
