@@ -10,7 +10,8 @@ with references to the original and no payload. Digests of many records are hot
 of which there are few whatever the input, join by broadcast, the rest by shuffle.
 
 A null html is an empty payload. Null page_ids come after all others; equal ones are told apart by their place. A
-payload shorter than min_bytes is never a revisit. An empty table gives empty archives.
+payload shorter than min_bytes is never a revisit. Payloads of any length are written whole, one record at a time. A url
+is read back as it was. Columns besides page_id, url and html are ignored. An empty table gives empty archives.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ HOT_SHARE = 0.001
 
 LEVEL = 3
 
+#: Bytes that are decompressed at once.
+READ = 1 << 13
+
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -55,12 +59,18 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a chunk or a whole archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("a record is cut off")
+    """Headers and block of each record of a chunk or a whole archive, whose bytes are gone through once."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a record is cut off")
+            part = view[at : at + READ]
+            parts.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -70,11 +80,20 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if rest[size:] != b"\r\n\r\n":
             raise ValueError("wrong length of a record")
         yield headers, rest[:size]
-        data = z.unused_data
 
 
-def _clean(value: str | None) -> str | None:
-    return None if value is None else value.replace("\r", "%0D").replace("\n", "%0A")
+def uri_headers(url: str | None) -> list[tuple[str, str | None]]:
+    """A url that has line ends or blanks at its ends, which a header can't carry, stands cleaned in its usual place and as it is,
+    in base64, in a header of its own."""
+    if url is None:
+        return []
+    clean = url.replace("\r", "%0D").replace("\n", "%0A").strip()
+    return [("WARC-Target-URI", clean)] + ([("X-Target-URI", base64.b64encode(url.encode()).decode())] if clean != url else [])
+
+
+def uri_of(headers: dict[str, str]) -> str | None:
+    raw = headers.get("X-Target-URI")
+    return headers.get("WARC-Target-URI") if raw is None else base64.b64decode(raw).decode()
 
 
 def _record_id(*parts: object) -> str:
@@ -119,7 +138,7 @@ def write_archives(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
                             ("WARC-Type", "response"),
                             ("WARC-Record-ID", _record_id(archive, n, page)),
                             ("WARC-Date", date),
-                            ("WARC-Target-URI", _clean(url)),
+                            *uri_headers(url),
                             ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"),
                             ("Content-Type", "application/http;msgtype=response"),
                             ("X-Page-Id", None if page is None else str(page)),
@@ -147,7 +166,7 @@ def read_headers(archives: DataFrame) -> DataFrame:
                 rows = []
                 for place, (h, _) in enumerate(read_records(data)):
                     page = h.get("X-Page-Id")
-                    rows.append((archive, chunk, place, None if page is None else int(page), h.get("WARC-Target-URI"), h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])))
+                    rows.append((archive, chunk, place, None if page is None else int(page), uri_of(h), h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])))
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in HEADERS.split(", ")])
 
@@ -184,7 +203,7 @@ def deduplicate_archives(archives: DataFrame, resolved: DataFrame) -> DataFrame:
                 out = []
                 for (h, block), d in zip(read_records(data), decisions, strict=True):
                     o = d["original"]
-                    keep = [(k, h.get(k)) for k in ("WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Type", "X-Page-Id", "X-Payload-Length")]
+                    keep = [(k, h.get(k)) for k in ("WARC-Date", "WARC-Target-URI", "X-Target-URI", "WARC-Payload-Digest", "Content-Type", "X-Page-Id", "X-Payload-Length")]
                     fresh = ("WARC-Record-ID", _record_id("deduplicated", h["WARC-Record-ID"]))
                     if o is None:
                         out.append(write_record([("WARC-Type", "response"), fresh, *keep], block))
@@ -192,7 +211,7 @@ def deduplicate_archives(archives: DataFrame, resolved: DataFrame) -> DataFrame:
                         refers = [
                             ("WARC-Profile", PROFILE),
                             ("WARC-Refers-To", _record_id("deduplicated", o["record_id"])),
-                            ("WARC-Refers-To-Target-URI", o["uri"]),
+                            ("WARC-Refers-To-Target-URI", dict(uri_headers(o["uri"])).get("WARC-Target-URI")),
                             ("WARC-Refers-To-Date", o["date"]),
                             ("X-Refers-To-Page-Id", None if o["page_id"] is None else str(o["page_id"])),
                         ]

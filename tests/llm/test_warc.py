@@ -61,3 +61,30 @@ def test_archives_are_whole_files(spark, tmp_path):
 
 def test_no_pages(spark):
     assert warc.archive_pages(pages(spark, [])).count() == 0
+
+
+def test_urls_come_back_whole(spark):
+    urls = [None, "", "http://a/%0D%0A", "http://a/\r\n", " b ", "c: d", "é\t"]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    got = warc.read_headers(warc.write_archives(pages(spark, rows))).collect()
+    assert {r["page_id"]: r["uri"] for r in got} == dict(enumerate(urls))
+
+
+def test_a_long_archive_is_gone_through_once():
+    """Four times the records take about four times as long, and a record that is cut off is told."""
+    import time
+
+    record = warc.write_record([("WARC-Type", "response")], warc.http_block(b"x" * 900))
+    took = []
+    for n in (4000, 16_000):
+        began = time.time()
+        assert sum(1 for _ in warc.read_records(record * n)) == n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+    for bad in (record[:-3], record * 2 + record[: len(record) // 2]):
+        try:
+            list(warc.read_records(bad))
+        except ValueError as e:
+            assert "cut off" in str(e)
+        else:
+            raise AssertionError
