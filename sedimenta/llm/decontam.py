@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions alone.
 
-The index holds a posting (row, pos, tid) for every place in a training text at which a term of the queries stands, and
-one of the empty term, number 0, behind the last word of each text: its place is the text's length. It is written once;
-searches read from it the lists they need.
+The index holds a posting (row, pos, term) for every place in a training text, in order of terms within each file, and one
+of the empty term behind the last word of each text: its place is the text's length. It is written once and serves any
+number of benchmarks: a search takes the lists of its own terms from it, numbered, and the empty one as number 0. Where
+there is one benchmark only, the same lists are taken from the texts as they are split, and no others are stored.
 
 A search looks for windows of consecutive item words. For each window the lists are taken from its rarest term on. The
 lists of rarest terms, moved by the term's place in the item, give alignments of text and item; those of the second
@@ -30,6 +31,9 @@ WINDOW = 8
 BROADCAST_TERMS = 500_000
 BROADCAST_ROWS = 1_000_000
 
+#: Tasks that a term's list is dealt to where pairs of terms are joined by shuffle.
+SALT = 16
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,8 +56,9 @@ def item_places(items: DataFrame, item_id: str = "item_id") -> DataFrame:
 
 
 @dataclass
-class Index:
-    """Postings of training texts for the terms of some items, and those items' places with the terms' numbers."""
+class Lists:
+    """The postings (row, doc_id, pos, tid) of training texts for the terms of some items, and those items' places with the
+    terms' numbers."""
 
     postings: DataFrame
     places: DataFrame
@@ -63,18 +68,43 @@ class Index:
         return self.postings.where("tid = 0").select("row", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
 
 
-def build_index(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> Index:
-    """Store the postings of all texts for all terms of items."""
+def _all_postings(docs: DataFrame) -> DataFrame:
+    """row, doc_id (at the empty term only), pos and term of every word, and of the empty term behind the last one."""
+    tokens = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
+    every = tokens.select("row", "doc_id", F.posexplode("words").alias("pos", "term"))
+    return every.select("row", F.when(F.col("term") == "", F.col("doc_id")).alias("doc_id"), "pos", "term")
+
+
+@dataclass
+class Index:
+    """Postings of training texts for all their terms."""
+
+    postings: DataFrame
+
+    def lists(self, items: DataFrame, item_id: str = "item_id") -> Lists:
+        """The lists that a search for items needs."""
+        return _lists(self.postings, items, item_id)
+
+
+def build_index(docs: DataFrame) -> Index:
+    """Store the postings of all texts. Each file is in order of terms, so a term's list stands together in it."""
+    return Index(materialize(_all_postings(docs).sortWithinPartitions("term", "row", "pos"), "index"))
+
+
+def _lists(postings: DataFrame, items: DataFrame, item_id: str) -> Lists:
     places = materialize(item_places(items, item_id), "items")
     terms = materialize(places.select("term").distinct().select("term", (F.monotonically_increasing_id() + 1).alias("tid")), "terms")
     known = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("bigint").alias("tid")))
-    tokens = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))
-    postings = tokens.select("row", "doc_id", F.posexplode("words").alias("pos", "term")).join(_bounded(known, BROADCAST_TERMS), "term")
-    stored = materialize(postings.select("row", F.when(F.col("tid") == 0, F.col("doc_id")).alias("doc_id"), "pos", "tid"), "postings")
-    return Index(stored, materialize(places.join(_bounded(terms, BROADCAST_TERMS), "term").select("item", "copy", "n", "ipos", "tid"), "places"))
+    stored = materialize(postings.join(_bounded(known, BROADCAST_TERMS), "term").select("row", "doc_id", "pos", "tid"), "postings")
+    return Lists(stored, materialize(places.join(_bounded(terms, BROADCAST_TERMS), "term").select("item", "copy", "n", "ipos", "tid"), "places"))
+
 
+def lists_of(docs: DataFrame, items: DataFrame, item_id: str = "item_id") -> Lists:
+    """The lists that a search for items needs, straight from the texts."""
+    return _lists(_all_postings(docs), items, item_id)
 
-def windows(index: Index, size: int = WINDOW) -> DataFrame:
+
+def windows(index: Lists, size: int = WINDOW) -> DataFrame:
     """Slots of each window that can occur at all: item, copy, start, length, ipos, tid and rank, 1 for its rarest term."""
     often = index.postings.where("tid <> 0").groupBy("tid").agg(F.count("*").alias("freq"))
     p = index.places.join(often, "tid", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
@@ -86,7 +116,7 @@ def windows(index: Index, size: int = WINDOW) -> DataFrame:
     return ranked.select("item", "copy", "n", "start", "length", "ipos", "tid", "rank")
 
 
-def _alignments(index: Index, slots: DataFrame, slop: int = 0) -> DataFrame:
+def _alignments(index: Lists, slots: DataFrame, slop: int = 0) -> DataFrame:
     """row, item, copy, diag (place in the text less place in the item) at which a window's two rarest terms both stand."""
     key = ["item", "copy", "start"]
     first = slots.where("rank = 1").select(*key, "length", F.col("ipos").alias("first_ipos"), F.col("tid").alias("first_tid"))
@@ -94,7 +124,7 @@ def _alignments(index: Index, slots: DataFrame, slop: int = 0) -> DataFrame:
     pairs = first.join(second, key, "left").select("item", "copy", "first_ipos", "first_tid", "second_ipos", "second_tid").distinct()
     pairs = materialize(pairs, "pairs")
     lists = index.postings.select("row", "pos", "tid").where("tid <> 0")
-    found = lists.join(_bounded(pairs, BROADCAST_TERMS).withColumnRenamed("first_tid", "tid"), "tid").withColumn("diag", F.col("pos") - F.col("first_ipos")).drop("tid", "pos")
+    found = _with_first(lists, pairs.withColumnRenamed("first_tid", "tid")).withColumn("diag", F.col("pos") - F.col("first_ipos")).drop("tid", "pos")
     only = found.where("second_tid is null").select("row", "item", "copy", "diag")  # windows of one word
     stray = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
     wanted = found.where("second_tid is not null").select("row", "item", "copy", "diag", F.col("second_tid").alias("tid"), stray.alias("stray"), "second_ipos")
@@ -104,7 +134,16 @@ def _alignments(index: Index, slots: DataFrame, slop: int = 0) -> DataFrame:
     return materialize(both.unionByName(only).distinct(), "alignments")
 
 
-def _matches(index: Index, aligned: DataFrame, slop: int = 0) -> DataFrame:
+def _with_first(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """lists with the pairs whose rarest term they are of. Too many pairs to be broadcast are joined by shuffle; there a hot
+    term's list is dealt to SALT tasks by its rows, and each gets all its pairs."""
+    if pairs.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return lists.join(F.broadcast(pairs), "tid")
+    salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lists.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(salted, ["tid", "salt"]).drop("salt")
+
+
+def _matches(index: Lists, aligned: DataFrame, slop: int = 0) -> DataFrame:
     """row, item, copy, n, diag, ipos, pos: the places at which an aligned item's terms stand in the text."""
     rows = _bounded(materialize(aligned.select("row").distinct(), "rows"), BROADCAST_ROWS)
     lists = index.postings.select("row", "pos", "tid").where("tid <> 0").join(rows, "row", "left_semi")
@@ -114,7 +153,7 @@ def _matches(index: Index, aligned: DataFrame, slop: int = 0) -> DataFrame:
     return wanted.join(lists, ["row", "tid", "pos"]).select("row", "item", "copy", "n", "diag", "ipos", "pos", "stray")
 
 
-def phrase_matches(index: Index, size: int = WINDOW) -> DataFrame:
+def phrase_matches(index: Lists, size: int = WINDOW) -> DataFrame:
     """row, item, first, last: runs of a text's words that windows of an item, as many as overlap, cover exactly."""
     at = ["row", "item", "copy", "diag"]
     hit = _matches(index, _alignments(index, windows(index, size)))
@@ -123,7 +162,7 @@ def phrase_matches(index: Index, size: int = WINDOW) -> DataFrame:
     return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(size))).select("row", "item", "first", "last")
 
 
-def proximity_matches(index: Index, slop: int, size: int = WINDOW) -> DataFrame:
+def proximity_matches(index: Lists, slop: int, size: int = WINDOW) -> DataFrame:
     """row, item, start, first, last: windows whose terms all stand within slop words of their places in some alignment with
     the rarest term."""
     slots = materialize(windows(index, size), "slots")
@@ -136,7 +175,11 @@ def proximity_matches(index: Index, slop: int, size: int = WINDOW) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, items_from: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs."""
-    index = build_index(docs, items)
+    return contamination_of(lists_of(docs, items), size, items_from)
+
+
+def contamination_of(index: Lists, size: int = WINDOW, items_from: int = 2) -> DataFrame:
+    """The same of texts that were indexed before."""
     found = materialize(phrase_matches(index, size), "phrases")
     # Runs of one text may overlap: those that do are merged before their words are counted.
     order = Window.partitionBy("row").orderBy("first", "last")

@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import brute
 import pytest
@@ -52,7 +53,7 @@ def test_few_words_again_and_again(spark):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x q1 q2 q3 q4 y"), (2, "q1 z q2 q3 z q4"), (3, "q1 q2 z z z z q3 q4"), (4, "q2 q1 q3 q4"), (5, "q1 q2 q3")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "q1 q2 q3 q4")], "item_id bigint, text string")
-    index = decontam.build_index(docs, items)
+    index = decontam.lists_of(docs, items)
     ids = {r["row"]: r["doc_id"] for r in index.lengths().collect()}
     near = lambda slop: {ids[r["row"]] for r in decontam.proximity_matches(index, slop, 4).collect()}
     assert near(0) == {1} == {ids[r["row"]] for r in decontam.phrase_matches(index, 4).collect()}
@@ -60,6 +61,20 @@ def test_proximity(spark):
     assert near(4) == {1, 2, 3, 4}
 
 
+def test_one_index_for_several_benchmarks(spark, tmp_path):
+    """Texts are split once; with the texts gone, two benchmarks are searched in the index."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(None, "a b c d e f g h"), (3, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    index = decontam.build_index(spark.read.parquet(str(tmp_path / "docs")))
+    shutil.rmtree(tmp_path / "docs")
+    for size in (3, 4):
+        items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for i in range(20)]
+        lists = index.lists(spark.createDataFrame(items, "item_id bigint, text string"))
+        got = [tuple(r) for r in decontam.contamination_of(lists, size).collect()]
+        assert sorted(got, key=key) == sorted(brute.decontamination(rows, items, size), key=key) and any(r[2] for r in got)
+
+
 def test_no_python_in_plans(spark, messy):
     table = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     plan = decontam.contamination(messy.select("doc_id", "text"), table)._jdf.queryExecution().executedPlan().toString()
