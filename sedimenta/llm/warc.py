@@ -37,7 +37,7 @@ CHUNK_BYTES = 4 << 20
 #: A digest with more than this share of all records is hot; at most the inverse of it, 1000 digests, can be.
 HOT_SHARE = 0.001
 
-LEVEL = 3
+LEVEL = 5
 
 #: Bytes that are decompressed at once.
 READ = 1 << 13
