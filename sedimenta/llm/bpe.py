@@ -173,8 +173,9 @@ class ForcedBoundaryCodec:
             found = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
             if len(merged) > self.memo_fragments:
                 merged.clear()
-            for x in {*found} - merged.keys():
-                merged[x] = self.merge(x)
+            for x in {*found}:
+                if x not in merged:
+                    merged[x] = self.merge(x)
             ids = list(map(merged.__getitem__, found))
             for x in {x for x in found if len(x) > MEMO_LENGTH}:
                 del merged[x]
