@@ -15,6 +15,7 @@ encoded by itself. Texts are encoded whole, however long.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import column, small_batches
+from sedimenta.llm.common import column, small_batches, trim
 
 #: Distinct stretches, and as many fragments, that a worker remembers before it starts anew.
 MEMO_FRAGMENTS = 250_000
@@ -218,12 +219,24 @@ def codec(path: str) -> ForcedBoundaryCodec:
     return _codecs[path]
 
 
+@contextlib.contextmanager
+def at_work(path: str) -> Iterator[ForcedBoundaryCodec]:
+    """A codec for a task. What it remembers goes when the task ends: the worker lives on and may be needed for other work."""
+    c = codec(path)
+    try:
+        yield c
+    finally:
+        c.memo.clear()
+        c.merged.clear()
+        trim()
+
+
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in small_batches(batches):
-            ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([column(batch, "row_key"), pa.array(ids, pa.binary())], ["row_key", "ids"])
+        with at_work(path) as c:
+            for batch in small_batches(batches):
+                ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([column(batch, "row_key"), pa.array(ids, pa.binary())], ["row_key", "ids"])
 
     return run
 
@@ -255,14 +268,14 @@ def encode_digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFr
     path = tokenizer_path or default_tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in small_batches(batches):
-            ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(c.decode(x)) for x in ids), pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with at_work(path) as c:
+            for batch in small_batches(batches):
+                ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(c.decode(x)) for x in ids), pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -1,6 +1,7 @@
 """Exact length histogram: documents by encoded length, and what its suffix sums answer for every context limit.
 
-A null or empty text has length 0. Repeated rows count as often as they occur. An empty table gives no rows.
+A null or empty text has length 0; texts of any length are encoded whole. Repeated rows count as often as they occur.
+Columns besides text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.bpe import codec, default_tokenizer_path
+from sedimenta.llm.bpe import at_work, default_tokenizer_path
 from sedimenta.llm.common import column, materialize, small_batches
 
 #: Lengths that share a block of the two-level suffix sums.
@@ -24,9 +25,10 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     path = tokenizer_path or default_tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, counts = codec(path), Counter()
-        for batch in small_batches(batches):
-            counts.update(len(c.encode(x or "")) // 4 for x in column(batch, "text").to_pylist())
+        counts = Counter()
+        with at_work(path) as c:
+            for batch in small_batches(batches):
+                counts.update(len(x) // 4 for x in c.encode_batch([x or "" for x in column(batch, "text").to_pylist()]))
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["n_tokens", "n"])
 
     return docs.select("text").mapInArrow(run, "n_tokens bigint, n bigint").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
