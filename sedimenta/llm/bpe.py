@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import column, small_batches, trim
 
 #: Distinct stretches, and as many fragments, that a worker remembers before it starts anew.
-MEMO_FRAGMENTS = 250_000
+MEMO_FRAGMENTS = 120_000
 
 #: Longer ones are encoded but not remembered.
 MEMO_LENGTH = 64
 
+#: Bytes of texts that are encoded at once.
+TEXT_BYTES = 1 << 19
+
 BLANK = "\t\n\v\f\r "
 
 #: The pattern of byte-level pre-tokenizers, a fixed value.
@@ -234,7 +237,7 @@ def at_work(path: str) -> Iterator[ForcedBoundaryCodec]:
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with at_work(path) as c:
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, limit=TEXT_BYTES):
                 ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([column(batch, "row_key"), pa.array(ids, pa.binary())], ["row_key", "ids"])
 
@@ -270,7 +273,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         with at_work(path) as c:
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, limit=TEXT_BYTES):
                 ids = c.encode_batch([x or "" for x in column(batch, "text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(c.decode(x)) for x in ids), pa.string())],

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.bpe import at_work, default_tokenizer_path
+from sedimenta.llm.bpe import TEXT_BYTES, at_work, default_tokenizer_path
 from sedimenta.llm.common import column, materialize, small_batches
 
 #: Lengths that share a block of the two-level suffix sums.
@@ -27,7 +27,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
         with at_work(path) as c:
-            for batch in small_batches(batches):
+            for batch in small_batches(batches, limit=TEXT_BYTES):
                 counts.update(len(x) // 4 for x in c.encode_batch([x or "" for x in column(batch, "text").to_pylist()]))
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["n_tokens", "n"])
 
