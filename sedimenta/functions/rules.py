@@ -23,17 +23,17 @@ class LineRule(NamedTuple):
 
 #: Secrets, in the order in which they are tried; the first that fits is the finding.
 SECRETS = (
-    ("hardcoded_password", "critical", "Hardcoded password", r"""(?i)(password|passwd|pwd|secret)\s*=\s*['"](?!.*\$\{).{4,}"""),
-    ("hardcoded_api_key", "critical", "Hardcoded API key", r"""(?i)(api[-_]?key|apikey|access[-_]?key)\s*=\s*['"].{8,}"""),
-    ("aws_key_id", "critical", "AWS access key ID", r"AKIA[0-9A-Z]{16}"),
-    ("aws_secret", "critical", "AWS secret access key", r"""(?i)aws.{0,20}secret.{0,20}['"][A-Za-z0-9+/]{40}['"]"""),
-    ("github_token", "critical", "GitHub personal access token", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    ("jwt_secret", "high", "Hardcoded JWT secret", r"""(?i)(jwt|token|signing)[-_]?(secret|key)\s*=\s*['"].{8,}"""),
-    ("private_key_pem", "critical", "Private key material in source", r"-----BEGIN (RSA|EC|DSA|OPENSSH)? ?PRIVATE KEY-----"),
-    ("connection_string", "high", "Hardcoded DB connection string", r"""(?i)jdbc:[a-z]+://[^\s'"]{10,}"""),
-    ("generic_token", "high", "Hardcoded bearer / auth token", r"""(?i)(bearer|token)\s*[=:]\s*['"][A-Za-z0-9._\-]{16,}"""),
-    ("hardcoded_ip", "low", "Hardcoded IP address", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("hardcoded_url", "low", "Hardcoded URL (may contain secrets)", r"""https?://[^\s'"]{20,}"""),
+    ("hardcoded_password", "critical", "Password written into the source", r"""(?i)(password|passwd|pwd|secret)\s*=\s*['"](?!.*\$\{).{4,}"""),
+    ("hardcoded_api_key", "critical", "API key written into the source", r"""(?i)(api[-_]?key|apikey|access[-_]?key)\s*=\s*['"].{8,}"""),
+    ("aws_key_id", "critical", "Id of an AWS access key", r"AKIA[0-9A-Z]{16}"),
+    ("aws_secret", "critical", "Secret part of an AWS access key", r"""(?i)aws.{0,20}secret.{0,20}['"][A-Za-z0-9+/]{40}['"]"""),
+    ("github_token", "critical", "Token for GitHub", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    ("jwt_secret", "high", "Signing secret written into the source", r"""(?i)(jwt|token|signing)[-_]?(secret|key)\s*=\s*['"].{8,}"""),
+    ("private_key_pem", "critical", "Private key in PEM form", r"-----BEGIN (RSA|EC|DSA|OPENSSH)? ?PRIVATE KEY-----"),
+    ("connection_string", "high", "Database address written into the source", r"""(?i)jdbc:[a-z]+://[^\s'"]{10,}"""),
+    ("generic_token", "high", "Bearer token written into the source", r"""(?i)(bearer|token)\s*[=:]\s*['"][A-Za-z0-9._\-]{16,}"""),
+    ("hardcoded_ip", "low", "IP address written into the source", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    ("hardcoded_url", "low", "Long address, perhaps with a secret in it", r"""https?://[^\s'"]{20,}"""),
 )
 
 #: Line rules in scan order; the empty catch block, which looks ahead, stands among them by its place.

@@ -131,8 +131,8 @@ def java_endpoints(spark, sf_dir):
 
 @query(
     "rule_id, severity, line, title",
-    "('hardcoded_password', 'critical', 9, 'Hardcoded password')",
-    "('hardcoded_ip', 'low', 10, 'Hardcoded IP address')",
+    "('hardcoded_password', 'critical', 9, 'Password written into the source')",
+    "('hardcoded_ip', 'low', 10, 'IP address written into the source')",
     "('sql_injection', 'critical', 15, 'Possible SQL injection')",
     "('weak_cryptography', 'high', 16, 'Weak cryptographic algorithm: MD5')",
     "('path_traversal', 'high', 17, 'Possible path traversal')",
