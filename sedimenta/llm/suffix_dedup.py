@@ -14,7 +14,9 @@ never cross texts, overlaps count, and strings are judged on the input. The leng
    windows d bytes before their anchor are equal if their contexts agree on d bytes backwards and length - d forwards.
 4. An anchor of very many contexts is spread over shards. These give out the sorted fingerprints of the windows they know,
    cut by ranges; for each range the lists of shards are merged by binary search in each other.
-5. The repeated windows of a text are united and cut out.
+5. The repeated windows of a text are united and cut out. keep_unique() can be held to runs of more than some words: of
+   the maximal runs that shorter strings cover, those of more words are cut out, and those of LENGTH bytes, however few
+   words they have, since not every script sets words apart.
 
 A null text is empty. Repeated rows are copies like any other: a text of that length or more that occurs twice goes
 whole. Null or repeated doc_ids get their own rows. Other columns pass through keep_unique() untouched.
@@ -36,9 +38,9 @@ from sedimenta.llm.shingles import mix
 
 LENGTH = 400
 
-#: Length of the passages that removal_digests() tells of besides: 51 words of the four languages of the tables have at least
-#: so many bytes in 98 of 100 places.
-PASSAGE = 250
+#: Passages are runs of more than WORDS words. They are looked for as strings of PASSAGE bytes, fewer than 51 words have in
+#: 99 of 100 places of the tables. Words are what ASCII white space sets apart; parts of words at the ends of a run count.
+PASSAGE, WORDS = 200, 50
 
 
 def gram(length: int) -> int:
@@ -492,9 +494,16 @@ def _kept(raw: bytes, removed: list[int]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+def passages_of(raw: bytes, ends: list[int], words: int, length: int = LENGTH) -> list[int]:
+    """Of the maximal runs (starts and ends, one after the other) those of more than so many words, or of length bytes."""
+    kept = ((a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b - a >= length or len(raw[a:b].split()) > words)
+    return [x for run in kept for x in run]
+
+
+def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; further n_passages and n_passage_bytes: the maximal runs
-    of bytes that repeated strings of passage bytes, a smaller length, cover. Those are told and not removed."""
+    of bytes that repeated strings of passage bytes, a smaller length, cover, if they have more than so many words or length
+    bytes. Those are told and not removed."""
     if passage > length:
         raise ValueError("a passage must not be longer than what is removed")
 
@@ -504,6 +513,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
             for text, removed, told in zip(*(column(batch, x).to_pylist() for x in ("text", "removed", "passages")), strict=True):
                 raw = (text or "").encode()
                 kept = _kept(raw, removed)
+                told = passages_of(raw, told, words, length)
                 out.append((len(raw), len(raw) - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest(), len(told) // 2, sum(told[1::2]) - sum(told[::2])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -518,14 +528,20 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
     return attached(numbered, row, materialize(table, "passages")).select("doc_id", "text", "removed", "passages").mapInArrow(run, schema)
 
 
-def keep_unique(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows with what is left of their texts, all other columns as they are. Bytes of a character of which a part goes
-    are dropped, and a null text stays null."""
+def _cut(text: str, ends: list[int], words: int) -> str:
+    raw = text.encode()
+    return _kept(raw, passages_of(raw, ends, words)).decode("utf-8", "ignore")
+
+
+def keep_unique(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """The rows with what is left of their texts, all other columns as they are. Of the maximal runs that repeated strings of
+    length bytes cover, those of more than so many words go, and those of LENGTH bytes. Bytes of a character of which a part
+    goes are dropped, and a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             gone = column(batch, removed).to_pylist()
-            texts = [t if t is None or not r else _kept(t.encode(), r).decode("utf-8", "ignore") for t, r in zip(column(batch, "text").to_pylist(), gone, strict=True)]
+            texts = [t if t is None or not r else _cut(t, r, words) for t, r in zip(column(batch, "text").to_pylist(), gone, strict=True)]
             names = [x for x in batch.schema.names if x != removed]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else column(batch, x) for x in names], names)
 

@@ -15,7 +15,7 @@ def key(r):
 
 
 def digests(rows, length=400):
-    told = brute.removal(rows, D.PASSAGE)
+    told = brute.removal(rows, D.PASSAGE, D.WORDS)
     return sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest(), p[3], p[2]) for r, p in zip(brute.removal(rows, length), told, strict=True)), key=key)
 
 
@@ -99,6 +99,23 @@ def test_other_lengths(spark, messy, length):
     assert sorted((tuple(r) for r in D.removal_digests(messy, length).collect()), key=key) == digests(rows, length)
 
 
+def test_passages_by_words(spark):
+    """Repeated runs of 50 and 51 words, one of 51 short words, and 399 (with spaces around) and 400 bytes that no space divides."""
+    own = iter(range(100, 200))
+    wrap = lambda p: words(20, next(own)) + " " + p + " " + words(20, next(own))
+    fifty, more, short = (" ".join(f"{c}{i:04d}" for i in range(n)) for c, n in (("q", 48), ("r", 51), ("s", 51)))
+    short = " ".join(w[0] + w[2:] for w in short.split())
+    rng = random.Random(3)
+    solid = "".join(rng.choice("abcdefghij") for _ in range(397))
+    rows = [(i, wrap(p)) for i, p in enumerate([fifty, fifty, more, more, short, short, solid, solid])] + [(8, solid + "xyz"), (9, solid + "xyz")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: kept.decode(errors="ignore") for i, _, _, _, kept in brute.removal(rows, D.PASSAGE, D.WORDS)}
+    assert {r["doc_id"]: r["text"] for r in D.keep_unique(df, D.PASSAGE, D.WORDS).collect()} == want
+    texts = dict(rows)
+    assert [want[i] == texts[i] for i in range(10)] == [True, True, False, False, False, False, True, True, False, False]
+    assert sorted((tuple(r) for r in D.removal_digests(df).collect()), key=key) == digests(rows)
+
+
 def test_names_of_a_users_columns(spark):
     df = spark.createDataFrame([(1, words(100, 1), 5, 6), (1, words(100, 1), 5, 6)], "doc_id bigint, text string, __ROW int, __removed int")
     out = D.keep_unique(df).collect()
