@@ -2,8 +2,8 @@
 
 1. toxicity: documents that score THRESHOLD or more go.
 2. near_duplicates: of each group of near-copies the document with the smallest doc_id stays.
-3. repeated_substrings: every byte of a string of PASSAGE_BYTES bytes that starts anywhere else is cut out; documents stay.
-   A passage of over 50 words counts as one: 51 words have that many bytes in 98 of 100 places of the tables.
+3. repeated_substrings: passages of more than PASSAGE_WORDS words that occur anywhere else are cut out; documents stay.
+   They are the maximal runs that repeated strings of PASSAGE_BYTES bytes cover; shorter runs stay, but not from 400 bytes.
 4. decontamination: documents in which a window of a benchmark item occurs go.
 5. bpe: what is left is encoded and decoded; one row of digests for each document.
 """
@@ -17,8 +17,8 @@ from sedimenta.llm import bpe, decontam, minhash, suffix_dedup, toxicity
 from sedimenta.llm.common import discard, materialize, read, scope
 
 
-#: Bytes from which a repeated string is cut out.
-PASSAGE_BYTES = 250
+#: Bytes from which a repeated string is looked at, and words above which the run that such strings cover is cut out.
+PASSAGE_BYTES, PASSAGE_WORDS = suffix_dedup.PASSAGE, suffix_dedup.WORDS
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def repeated_substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.keep_unique(docs, PASSAGE_BYTES)
+    out = suffix_dedup.keep_unique(docs, PASSAGE_BYTES, PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
