@@ -22,7 +22,7 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"] for r in clean.collect()} <= {r["doc_id"] for r in start.collect()} and clean.count() >= 0.8 * start.count()
     near = brute.near_duplicates(pairs(clean))
     assert {r["doc_id"] for r in single.collect()} == {i for i, (_, c) in near.items() if i == c}
-    assert dict(pairs(unique)) == {i: k.decode(errors="ignore") for i, _, _, _, k in brute.removal(pairs(single), P.PASSAGE_BYTES)}
+    assert dict(pairs(unique)) == {i: k.decode(errors="ignore") for i, _, _, _, k in brute.removal(pairs(single), P.PASSAGE_BYTES, P.PASSAGE_WORDS)}
     assert all(r["n_chars"] == len(r["text"]) for r in unique.collect())
     items = [(r["item_id"], r["text"]) for r in read(spark, sf_dir, "benchmark").collect()]
     assert sorted(pairs(fair)) == sorted((i, t) for (i, t), r in zip(pairs(unique), brute.decontamination(pairs(unique), items, items_from=1), strict=True) if not r[-1])
