@@ -38,9 +38,9 @@ from sedimenta.llm.shingles import mix
 
 LENGTH = 400
 
-#: Passages are runs of more than WORDS words. They are looked for as strings of PASSAGE bytes, fewer than 51 words have in
-#: 99 of 100 places of the tables. Words are what ASCII white space sets apart; parts of words at the ends of a run count.
-PASSAGE, WORDS = 200, 50
+#: Length of the passages that removal_digests() tells of besides: 51 words of the four languages of the tables have at least
+#: so many bytes in 98 of 100 places.
+PASSAGE = 250
 
 
 def gram(length: int) -> int:
@@ -500,10 +500,9 @@ def passages_of(raw: bytes, ends: list[int], words: int, length: int = LENGTH) -
     return [x for run in kept for x in run]
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; further n_passages and n_passage_bytes: the maximal runs
-    of bytes that repeated strings of passage bytes, a smaller length, cover, if they have more than so many words or length
-    bytes. Those are told and not removed."""
+    of bytes that repeated strings of passage bytes, a smaller length, cover. Those are told and not removed."""
     if passage > length:
         raise ValueError("a passage must not be longer than what is removed")
 
@@ -513,7 +512,6 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
             for text, removed, told in zip(*(column(batch, x).to_pylist() for x in ("text", "removed", "passages")), strict=True):
                 raw = (text or "").encode()
                 kept = _kept(raw, removed)
-                told = passages_of(raw, told, words, length)
                 out.append((len(raw), len(raw) - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest(), len(told) // 2, sum(told[1::2]) - sum(told[::2])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -528,14 +526,21 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
     return attached(numbered, row, materialize(table, "passages")).select("doc_id", "text", "removed", "passages").mapInArrow(run, schema)
 
 
-def _cut(text: str, ends: list[int], words: int) -> str:
+def passages_of(raw: bytes, ends: list[int], words: int, length: int = LENGTH) -> list[int]:
+    """Of the maximal runs (starts and ends, one after the other) those of more than so many words, or of length bytes. Words
+    are what ASCII white space sets apart; parts of words at the ends of a run count."""
+    kept = ((a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b - a >= length or len(raw[a:b].split()) > words)
+    return [x for run in kept for x in run]
+
+
+def _cut(text: str, ends: list[int], words: int | None) -> str:
     raw = text.encode()
-    return _kept(raw, passages_of(raw, ends, words)).decode("utf-8", "ignore")
+    return _kept(raw, ends if words is None else passages_of(raw, ends, words)).decode("utf-8", "ignore")
 
 
-def keep_unique(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+def keep_unique(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The rows with what is left of their texts, all other columns as they are. Of the maximal runs that repeated strings of
-    length bytes cover, those of more than so many words go, and those of LENGTH bytes. Bytes of a character of which a part
+    length bytes cover all go or, where words are given, those of more than so many and those of LENGTH bytes. Bytes of a character of which a part
     goes are dropped, and a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

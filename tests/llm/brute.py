@@ -30,7 +30,7 @@ def decontamination(rows, items, size=8, items_from=2):
     return out
 
 
-def removal(rows, length=400, words=0):
+def removal(rows, length=400, words=None):
     """rows of (doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept). Runs of up to so many words stay if they have fewer
     than 400 bytes."""
     raw = [(t or "").encode() for _, t in rows]
@@ -41,7 +41,7 @@ def removal(rows, length=400, words=0):
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
-        for run in re.finditer(b"\1+", bytes(gone)) if words else ():
+        for run in re.finditer(b"\1+", bytes(gone)) if words is not None else ():
             if len(run[0]) < 400 and len(b[run.start() : run.end()].split()) <= words:
                 gone[run.start() : run.end()] = bytes(len(run[0]))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)

@@ -15,7 +15,7 @@ def key(r):
 
 
 def digests(rows, length=400):
-    told = brute.removal(rows, D.PASSAGE, D.WORDS)
+    told = brute.removal(rows, D.PASSAGE)
     return sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest(), p[3], p[2]) for r, p in zip(brute.removal(rows, length), told, strict=True)), key=key)
 
 
@@ -109,8 +109,8 @@ def test_passages_by_words(spark):
     solid = "".join(rng.choice("abcdefghij") for _ in range(397))
     rows = [(i, wrap(p)) for i, p in enumerate([fifty, fifty, more, more, short, short, solid, solid])] + [(8, solid + "xyz"), (9, solid + "xyz")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = {i: kept.decode(errors="ignore") for i, _, _, _, kept in brute.removal(rows, D.PASSAGE, D.WORDS)}
-    assert {r["doc_id"]: r["text"] for r in D.keep_unique(df, D.PASSAGE, D.WORDS).collect()} == want
+    want = {i: kept.decode(errors="ignore") for i, _, _, _, kept in brute.removal(rows, 200, 50)}
+    assert {r["doc_id"]: r["text"] for r in D.keep_unique(df, 200, 50).collect()} == want
     texts = dict(rows)
     assert [want[i] == texts[i] for i in range(10)] == [True, True, False, False, False, False, True, True, False, False]
     assert sorted((tuple(r) for r in D.removal_digests(df).collect()), key=key) == digests(rows)
