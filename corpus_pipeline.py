@@ -17,8 +17,9 @@ from sedimenta.llm import bpe, decontam, minhash, suffix_dedup, toxicity
 from sedimenta.llm.common import discard, materialize, read, scope
 
 
-#: Bytes from which a repeated string is looked at, and words above which the run that such strings cover is cut out.
-PASSAGE_BYTES, PASSAGE_WORDS = suffix_dedup.PASSAGE, suffix_dedup.WORDS
+#: Bytes from which a repeated string is looked at, fewer than 51 words have in 99 of 100 places of the tables, and words
+#: above which the run that such strings cover is cut out.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
