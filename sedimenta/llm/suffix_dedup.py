@@ -494,12 +494,6 @@ def _kept(raw: bytes, removed: list[int]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def passages_of(raw: bytes, ends: list[int], words: int, length: int = LENGTH) -> list[int]:
-    """Of the maximal runs (starts and ends, one after the other) those of more than so many words, or of length bytes."""
-    kept = ((a, b) for a, b in zip(ends[::2], ends[1::2], strict=True) if b - a >= length or len(raw[a:b].split()) > words)
-    return [x for run in kept for x in run]
-
-
 def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; further n_passages and n_passage_bytes: the maximal runs
     of bytes that repeated strings of passage bytes, a smaller length, cover. Those are told and not removed."""
@@ -540,8 +534,8 @@ def _cut(text: str, ends: list[int], words: int | None) -> str:
 
 def keep_unique(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The rows with what is left of their texts, all other columns as they are. Of the maximal runs that repeated strings of
-    length bytes cover all go or, where words are given, those of more than so many and those of LENGTH bytes. Bytes of a character of which a part
-    goes are dropped, and a null text stays null."""
+    length bytes cover all go or, where words are given, those of more than so many and those of
+    LENGTH bytes. Bytes of a character of which a part goes are dropped, and a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
