@@ -21,6 +21,17 @@ def reach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Spark's default for rows in a batch to Python, and what whole texts get instead.
+DEFAULT_ROWS, TEXT_ROWS = "10000", "500"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """A session that has the default for rows in a batch to Python gets TEXT_ROWS; one that has chosen a number keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return spark
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the folder of spark.checkpoint.dir, which all executors share. Where that is unset, a single
     machine gets a temporary folder, and a cluster an error."""

@@ -177,3 +177,48 @@ def test_best_rows_in_small_batches():
     for q in range(7):
         assert [x for _, _, x in best.rows[q]] == sorted(range(900), key=lambda i: (-scores[i, q], i))[:5]
     assert topk.rounded(np.array([0.00005, -0.00005, 0.00004, np.nan, 2.5]), 4).tolist()[:3] == [0.0001, -0.0001, 0.0]
+
+
+def test_terms_are_searched_without_postings(spark, tmp_path):
+    """Nothing by term and node, or by query and node, is shuffled: the plan has the exchange of the best rows alone."""
+    from sedimenta.operators import retrieval
+
+    spark.range(0, 600, 1, 3).selectExpr("id", "concat('common w', id % 50, ' v', id % 7) as text").write.parquet(str(tmp_path / "nodes"))
+    asked = spark.createDataFrame([(1, "common w3"), (2, "V2 w7, common"), (3, "none"), (4, None), (5, "")], "query_id bigint, text string")
+    got = retrieval.bm25(spark.read.parquet(str(tmp_path / "nodes")), asked, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+    assert {(r["query_id"], r["n"]) for r in got.groupBy("query_id").count().withColumnRenamed("count", "n").collect()} == {(1, 4), (2, 4)}
+
+
+def test_terms_against_sql(spark, monkeypatch):
+    """Copies, nulls, empty texts, a term in every text, letters beyond ASCII, names for ids; in several blocks and batches."""
+    import random
+
+    import duckdb
+
+    from sedimenta.operators import retrieval, topk
+    from sedimenta.plans import tables
+
+    r = random.Random(8)
+    words = ["all", *(f"w{i}" for i in range(40)), "Ärger", "x_1", "naïve"]
+    texts = [None, "", " ..; ", *["all w1 w2"] * 30, *(" ".join(["ALL", *r.choices(words, k=r.randint(0, 60))]) for _ in range(400))]
+    r.shuffle(texts)
+    items = [None, "", "nothing here", "all", *(", ".join(r.choices(words, k=r.randint(1, 12))) for _ in range(30))]
+    docs, asked = list(enumerate(texts)), list(enumerate(items))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", asked)
+    want = sorted(con.execute(f"select query_id, rank, id, score from ({tables.SQL['bm25_topk']})").fetchall())
+    nodes = spark.createDataFrame(docs, "id bigint, text string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id bigint, text string")
+    rounded = lambda df: sorted((x["query_id"], x["rank"], x["id"], round(x["score"], 4)) for x in df.collect())
+    got = rounded(retrieval.bm25(nodes, queries))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1.01e-4 for a, b in zip(got, want, strict=True))
+    monkeypatch.setattr(topk, "ASKED", 40)
+    assert rounded(retrieval.bm25(nodes, queries)) == got
+    named = retrieval.bm25(nodes.selectExpr("lpad(string(id), 5, '0') as id", "text"), queries)
+    assert [(q, n, int(i), s) for q, n, i, s in rounded(named)] == got
+    assert not retrieval.bm25(nodes.where("false"), queries).collect() and not retrieval.bm25(nodes, queries.where("false")).collect()
