@@ -222,3 +222,19 @@ def test_terms_against_sql(spark, monkeypatch):
     named = retrieval.bm25(nodes.selectExpr("lpad(string(id), 5, '0') as id", "text"), queries)
     assert [(q, n, int(i), s) for q, n, i, s in rounded(named)] == got
     assert not retrieval.bm25(nodes.where("false"), queries).collect() and not retrieval.bm25(nodes, queries.where("false")).collect()
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path, monkeypatch):
+    """Scores that end in a 5 at the fifth place: the double decides, as in DuckDB's round()."""
+    import duckdb
+
+    from sedimenta.operators import retrieval
+    from sedimenta.plans import tables
+
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame([(1, "a")], f"{key} bigint, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    scores = [130.58995, *(round(i + i * 0.01 + 0.00005, 6) for i in range(1, 200))]
+    monkeypatch.setattr(retrieval, "bm25", lambda *a: spark.createDataFrame([(1, i, i, s) for i, s in enumerate(scores)], "query_id int, id int, rank int, score double"))
+    got = {r["id"]: r["score"] for r in tables.bm25_topk(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    assert [got[i] for i in range(len(scores))] == [con.execute("select round(?::double, 4)", [s]).fetchall()[0][0] for s in scores]
